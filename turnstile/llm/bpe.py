@@ -15,6 +15,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from turnstile.llm.common import only, ship
 
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces that a Python worker remembers; then it starts anew.
-CACHED = 400_000
+CACHED = 150_000
 #: Matches of more bytes are merged one by one with a heap, as a matrix row would cost the square.
 LONG = 512
 #: A single space between two characters that are not white space.
@@ -105,7 +106,7 @@ class Encoder:
         edges = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, LONG]
         for low, high in zip([0, *edges[:-1]], edges):
             rows = np.flatnonzero((size > low) & (size <= high))
-            for i in range(0, len(rows), step := max(1, 2_000_000 // high)):
+            for i in range(0, len(rows), step := max(1, 250_000 // high)):
                 own = rows[i : i + step]
                 for k, ids in zip(own.tolist(), self.merge_matrix([raw[r] for r in own.tolist()], size[own], high)):
                     out[k] = ids
@@ -218,8 +219,8 @@ class Cutter:
             new = list(met)
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         fine = list(set(new).difference(odd)) if odd else new
-        for i in range(0, len(fine), 50_000):
-            part = fine[i : i + 50_000]
+        for i in range(0, len(fine), 20_000):
+            part = fine[i : i + 20_000]
             known.update(zip(part, self.of([" " + p for p in part])))
         known.update(dict.fromkeys(odd))  # None: no safe cut beside such a piece
         out: list[bytes] = []
@@ -265,37 +266,44 @@ def token_bytes(path: str) -> list[bytes]:
     return _BYTES[path]
 
 
-def some(texts: list, budget: int = 8_000_000):
-    """Cut a list into slices of about so many characters, so that what a slice makes stays small."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= budget:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def some(texts: pa.Array, budget: int = 2_000_000):
+    """Slices (start, end) of a text column of about so many bytes, so that what a slice makes stays small."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(size):
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + budget, "right")))
+        yield start, end
+        start = end
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, ids binary) and the columns named in keep, one row for each row of docs.
+def decoded(ids: bytes | None, table: list[bytes]) -> bytes | None:
+    return None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
-    ids holds little-endian unsigned 32-bit integers. A null text counts as empty and gives no ids.
-    Rows stay apart, so repeated rows give repeated results; an empty table gives none. Long texts and
-    long runs without a cut take the heap path, whose cost is n log n.
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), back: bool = False) -> DataFrame:
+    """(id, ids binary) and the columns named in keep, one row for each row of docs; with back also decoded binary.
+
+    ids holds little-endian unsigned 32-bit integers, decoded the bytes that these ids stand for. A null text
+    counts as empty and gives no ids. Rows stay apart, so repeated rows give repeated results; an empty
+    table gives none. Long texts and long runs without a cut take the heap path, whose cost is n log n.
     """
     ship(docs.sparkSession)
     names = [id_col, *keep]
-    schema = T.StructType([*[T.StructField(n, docs.schema[n].dataType) for n in names], T.StructField("ids", T.BinaryType())])
+    more = ["ids", "decoded"] if back else ["ids"]
+    schema = T.StructType([*[T.StructField(n, docs.schema[n].dataType) for n in names], *[T.StructField(n, T.BinaryType()) for n in more]])
 
     def run(batches):
         gc.disable()  # nothing here makes cycles, and full collections walk every list of pieces
-        enc = encoder(path, pattern)
+        enc, table = encoder(path, pattern), token_bytes(path) if back else []
         for b in batches:
-            texts = [t or "" for t in b.column(len(names)).to_pylist()]
+            texts = b.column(len(names))
             for i, j in some(texts):
-                part = b.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(enc.encode(texts[i:j]), pa.binary())], names=[*names, "ids"])
+                ids = enc.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
+                made = [pa.array(ids, pa.binary())]
+                if back:
+                    made.append(pa.array([decoded(x, table) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[: len(names)], *made], names=[*names, *more])
 
     return only(docs, *names, text_col).mapInArrow(run, schema)
 
@@ -309,8 +317,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     def run(batches):
         table = token_bytes(path)
         for b in batches:
-            out = [None if x is None else b"".join([table[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([decoded(x, table) for x in b.column(place).to_pylist()], pa.binary())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 

@@ -185,9 +185,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             rows.append((part, seq, name, len(own.ids), own.n_tokens, size, own.ids[0]))
 
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for i, j in some(texts, 4_000_000):
-                for k, raw in zip(ids[i:j], enc.encode(texts[i:j])):
+            for i, j in some(b.column(1)):
+                rows_now = b.slice(i, j - i)
+                for k, raw in zip(rows_now.column(0).to_pylist(), enc.encode([t or "" for t in rows_now.column(1).to_pylist()])):
                     if own is not None and own.n_tokens >= SHARD_TOKENS:
                         close()
                         own, seq = None, seq + 1
