@@ -2,8 +2,8 @@
 
 Statistics of a text are taken once, in whole. From a bounded sample of labelled rows conjunctions of
 thresholds that reject are grown one condition at a time by information gain on two thirds of the rows,
-and pruned back on the other third; rows that a rule covers leave, and the next rule is grown, until no rule
-is sure enough. The list becomes one Spark conditional expression, WHEN rule THEN rejected ... ELSE kept,
+and pruned back on the other third; rows that a rule covers leave, and the next rule is grown, until no feature
+starts a rule that is sure enough. The list becomes one Spark conditional expression, WHEN rule THEN rejected ... ELSE kept,
 that anyone can read.
 """
 
@@ -134,14 +134,14 @@ def covered(rule: list[Condition] | tuple[Condition, ...], x: dict[str, np.ndarr
     return hit
 
 
-def best_condition(x: dict[str, np.ndarray], bad: np.ndarray, hit: np.ndarray) -> tuple[float, Condition | None]:
-    """The condition of most information gain among the rows that a rule still covers."""
+def best_condition(x: dict[str, np.ndarray], bad: np.ndarray, hit: np.ndarray, banned: set[str]) -> tuple[float, Condition | None]:
+    """The condition of most information gain among the rows that a rule still covers, on features not banned."""
     p0, n0 = int((hit & bad).sum()), int((hit & ~bad).sum())
     best: tuple[float, Condition | None] = 0.0, None
     if not p0 or not n0:
         return best
     base = np.log2(p0 / (p0 + n0))
-    for name in FEATURES:
+    for name in [f for f in FEATURES if f not in banned]:
         v = x[name][hit]
         order = np.argsort(v, kind="stable")
         v, y = v[order], bad[hit][order]
@@ -161,12 +161,12 @@ def learn(counts: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> Deci
     """Sequential covering over labelled statistics: bad marks the rows to reject. No bad rows: an empty list."""
     x = {k: np.asarray(f(lambda c: counts[c].astype(float))) for k, f in FEATURES.items()}
     grow = np.random.default_rng(seed).random(len(bad)) < 2 / 3
-    left, rules = np.ones(len(bad), bool), []
+    left, rules, banned = np.ones(len(bad), bool), [], set()
     while len(rules) < MAX_RULES and (left & grow & bad).any():
         rule: list[Condition] = []
         hit = left & grow
         while len(rule) < MAX_CONDITIONS and (hit & ~bad).any():
-            _, c = best_condition(x, bad, hit)
+            _, c = best_condition(x, bad, hit, banned)
             if c is None:
                 break
             rule.append(c)
@@ -183,9 +183,10 @@ def learn(counts: dict[str, np.ndarray], bad: np.ndarray, seed: int = 7) -> Deci
         h = covered(rule, x, len(bad)) & left
         right = int((h & bad).sum())
         if right < LEAST_COVER or right < PRECISION * h.sum() or worth(rule) < 2 * PRECISION - 1:
-            break
+            banned.add(rule[0].feature)  # not sure enough: grow again from another feature
+            continue
         rules.append(tuple(rule))
-        left &= ~h
+        left, banned = left & ~h, set()
     return DecisionList(tuple(rules))
 
 
