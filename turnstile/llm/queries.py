@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, decontam, quality, rules, simhash, suffix, token_files, toxicity
+from turnstile.llm import bpe, decontam, lm, quality, rules, simhash, suffix, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "start", bpe.id_array(F.col("ids")).alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op4_quality_classifier, op5_decontamination, op7_byte_bpe, op8_suffix_dedup, op9_toxicity, op10_quality_rules)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_lm_scores, op4_quality_classifier, op5_decontamination, op7_byte_bpe, op8_suffix_dedup, op9_toxicity, op10_quality_rules)
 }
 
 OP5_SQL = r"""
