@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnstile.llm import bpe, decontam, lm, quality, rules, simhash, suffix, token_files, toxicity
+from turnstile.llm import bpe, decontam, html, lm, quality, rules, simhash, suffix, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file("byte_bpe_multi_50k.tiktoken")
     rows = bpe.encode(table(spark, sf_dir, "documents"), path, tokenizer_pattern(), back=True)
@@ -71,7 +76,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_lm_scores, op4_quality_classifier, op5_decontamination, op7_byte_bpe, op8_suffix_dedup, op9_toxicity, op10_quality_rules)
+    f.__name__: f for f in (op1_simhash_near_dedup, op2_token_files, op3_lm_scores, op4_quality_classifier, op5_decontamination, op6_html_main_text, op7_byte_bpe, op8_suffix_dedup, op9_toxicity, op10_quality_rules)
 }
 
 OP5_SQL = r"""

@@ -166,6 +166,9 @@ class Batch:
         self.rows, self.texts = order, [raw[i] for i in order]
         self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in order], np.int64)
         self.sample = s = Sample(self.texts)
+        if "scope" in table.column_names:  # strings of one scope alone meet
+            scope = np.array([table.column("scope")[i].as_py() for i in order], np.int64).view(np.uint64)
+            s.name = mixed(s.name ^ mixed(scope[s.doc] * M3)) if len(s.doc) else s.name
         self.place, (self.name, self.context), self.least, self.most = entries((s.name, s.context), self.ids[s.doc])
 
     def answers(self, rows: pa.Table, round_: int, n: int, name: np.ndarray, parts: int) -> np.ndarray:
@@ -186,13 +189,17 @@ class Batch:
         doc = self.ids[self.sample.doc[self.run]] if len(self.run) else np.empty(0, np.int64)
         self.window_place, (self.window_name, self.window_key), self.window_least, self.window_most = entries((self.sample.name[self.run], self.window), doc)
 
-    def removed(self, rows: pa.Table, parts: int) -> list[list[tuple[int, int]]]:
+    def removed(self, rows: pa.Table, parts: int, every: bool = False) -> list[list[tuple[int, int]]]:
         """Spans of each document, in the batch's order."""
         self.first_answers(rows, parts)
         s = self.sample
         back = self.answers(rows, 2, len(self.window_name), self.window_name, parts)
+        back_first = self.found - self.least
         gone = ~self.several & (self.found[self.place] < self.ids[s.doc]) if len(self.place) else np.empty(0, bool)
         hit = (self.window_least + back)[self.window_place] < self.ids[s.doc[self.run]] if len(self.run) else np.empty(0, bool)
+        if every:  # whatever more than one document has, in all of them
+            gone = ~self.several & (back_first[self.place] < 0) if len(self.place) else gone
+            hit = (back < 0)[self.window_place] if len(self.run) else hit
         doc = np.concatenate([s.doc[gone], s.doc[self.run[hit]]])
         low = np.concatenate([s.low[gone], self.start[hit]])
         high = np.concatenate([s.high[gone], self.start[hit]]) + LENGTH
@@ -234,8 +241,11 @@ def returned(blocks: list[int], sizes: list[int], part: int, value: np.ndarray,
     return pa.table({"b": pa.array(blocks, pa.int32()), "round": pa.array([round_] * len(blocks), pa.int32()), "p": pa.array([part] * len(blocks), pa.int32()), "data": pa.array([squeeze(value[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
-def settle_names(rows: pa.Table) -> pa.Table:
-    """Of each entry: how far below its own least document the name's is, or MULTI if its contexts differ."""
+def settle_names(rows: pa.Table, every: bool = False) -> pa.Table:
+    """Of each entry: how far below its own least document the name's is, or MULTI if its contexts differ.
+
+    With every: -1 where more than one document has it, else 0.
+    """
     blocks, sizes, name, context, least, most = opened(rows)
     place, _, low, high = entries((name,), least)
     _, _, _, top = entries((name,), most)
@@ -243,29 +253,32 @@ def settle_names(rows: pa.Table) -> pa.Table:
     np.minimum.at(one, place, context)
     differ = np.zeros(len(low), bool)
     differ[place[context != one[place]]] = True
-    value = np.where(differ[place] & (low != top)[place], MULTI, low[place] - least)
+    value = np.where(differ[place] & (low != top)[place], MULTI, -(low != top).astype(np.int64)[place] if every else low[place] - least)
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 1)
 
 
-def settle_windows(rows: pa.Table) -> pa.Table:
-    """Of each entry: how far below its own least document that of the equal windows is."""
-    blocks, sizes, name, window, least, _ = opened(rows)
+def settle_windows(rows: pa.Table, every: bool = False) -> pa.Table:
+    """Of each entry: how far below its own least document that of the equal windows is; with every as above."""
+    blocks, sizes, name, window, least, most = opened(rows)
     place, _, low, _ = entries((name, window), least)
-    return returned(blocks, sizes, rows.column("p")[0].as_py(), low[place] - least, 2)
+    _, _, _, top = entries((name, window), most)
+    value = -(low != top).astype(np.int64)[place] if every else low[place] - least
+    return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 2)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 8) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 8, scope_col: str | None = None, every: bool = False) -> DataFrame:
     """(id, text_hash, n_bytes, spans array<struct<start, end>>, kept binary), one row for each row of docs.
 
     text_hash is xxhash64 of the text (of the empty text for a null); spans are the maximal runs of bytes covered by a LENGTH-byte string that also starts in a document of
     smaller id; kept is the rest. A null text counts as empty; texts under LENGTH bytes keep all. Rows of
-    one id do not take from each other. A row without an id counts as the smallest.
+    one id do not take from each other. A row without an id counts as the smallest. With scope_col strings
+    meet only within equal scopes; with every a string that two documents have goes from all of them.
     """
     ship(docs.sparkSession)
     batches = parts_for(docs, batch_mb)
     parts = 4 * batches
     kind = docs.schema[id_col].dataType
-    own = only(docs, id_col, text_col).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("b"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("b"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(F.col(scope_col)).alias("scope")] if scope_col else []))
     to_part, back = "p int, b int, data binary", "b int, round int, p int, data binary"
 
     def first(key, table):
@@ -284,7 +297,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def last(key, table, rows):
         x = Batch(table) if table.num_rows else None
-        spans = x.removed(rows, parts) if x else []
+        spans = x.removed(rows, parts, every) if x else []
         kept = []
         for raw, cut in zip(x.texts if x else [], spans):
             edge = [0, *[e for s in cut for e in s], len(raw)]
@@ -294,8 +307,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts] if x else [], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.binary())})
 
     by_batch = own.groupBy("b")
-    names = by_batch.applyInArrow(first, to_part).groupBy("p").applyInArrow(settle_names, back)
-    windows = by_batch.cogroup(names.groupBy("b")).applyInArrow(second, to_part).groupBy("p").applyInArrow(settle_windows, back)
+    names = by_batch.applyInArrow(first, to_part).groupBy("p").applyInArrow(lambda t: settle_names(t, every), back)
+    windows = by_batch.cogroup(names.groupBy("b")).applyInArrow(second, to_part).groupBy("p").applyInArrow(lambda t: settle_windows(t, every), back)
     return by_batch.cogroup(names.unionByName(windows).groupBy("b")).applyInArrow(last, out)
 
 
