@@ -110,9 +110,9 @@ def kept_lines(rows: DataFrame) -> DataFrame:
 def quoted(text):
     """(rest, annotation): what stands before the first quoted part, and that part; an open quote runs to the end."""
     mark = F.when(text.contains('"'), F.lit('"')).when(text.contains("'"), F.lit("'"))
-    rest = F.when(mark.isNull(), text).otherwise(F.substring_index(text, mark, 1))
+    rest = F.when(mark.isNull(), text).otherwise(F.call_function("substring_index", text, mark, F.lit(1)))
     tail = F.substring(text, F.char_length(rest) + 2, 1 << 30)
-    note = F.when(tail.contains(mark), F.substring_index(tail, mark, 1)).otherwise(C.stripped(tail))
+    note = F.when(tail.contains(mark), F.call_function("substring_index", tail, mark, F.lit(1))).otherwise(C.stripped(tail))
     return C.stripped(rest), F.when(note != "", note)
 
 
