@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,6 +117,11 @@ def quoted(text):
     return C.stripped(rest), F.when(note != "", note)
 
 
+def re_words(text: str) -> list[str]:
+    """Words of a line before its quoted part."""
+    return re.split(r"[\"']", text, maxsplit=1)[0].split()
+
+
 def statements(rows: DataFrame) -> DataFrame:
     """(qid, kind, atom, antecedent, consequent, type, arg1, arg2, annotation, error) of tell lines (qid, value).
 
