@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from turnstile.llm.common import only, ship
 
 NO_RANK = np.int32(2**31 - 1)
-#: Pieces that a Python worker remembers; then it starts anew.
-CACHED = 150_000
+#: Pieces that a Python worker remembers; beyond it only those of the latest texts stay.
+CACHED = 200_000
 #: Matches of more bytes are merged one by one with a heap, as a matrix row would cost the square.
 LONG = 512
 #: A single space between two characters that are not white space.
@@ -186,13 +186,9 @@ class Encoder:
         met = set().union(*cut)
         new = [m for m in met if m not in known]
         if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(met)
+            known = self.matches = {m: known[m] for m in met if m in known}
         known.update(zip(new, self.encode_matches(new)))
-        out = [b"".join([known[m] for m in c]) for c in cut]
-        if len(known) > CACHED:
-            known.clear()
-        return out
+        return [b"".join([known[m] for m in c]) for c in cut]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return self.cutter.encode(texts)
@@ -201,8 +197,8 @@ class Encoder:
 class Cutter:
     """Encodes texts piece by piece with a function from pieces to id bytes, remembering pieces."""
 
-    def __init__(self, encode_pieces):
-        self.of, self.known = encode_pieces, {}
+    def __init__(self, encode_pieces, cached: int = CACHED):
+        self.of, self.known, self.cached = encode_pieces, {}, cached
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Id bytes of every text."""
@@ -214,13 +210,12 @@ class Cutter:
             c[0] = c[-1]  # the head is done; what is left are pieces that follow a space
         met = set().union(*cut)
         new = [p for p in met if p not in known]
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(met)
+        if len(known) + len(new) > self.cached:
+            known = self.known = {p: known[p] for p in met if p in known}
         odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
         fine = list(set(new).difference(odd)) if odd else new
-        for i in range(0, len(fine), 20_000):
-            part = fine[i : i + 20_000]
+        for i in range(0, len(fine), 50_000):
+            part = fine[i : i + 50_000]
             known.update(zip(part, self.of([" " + p for p in part])))
         known.update(dict.fromkeys(odd))  # None: no safe cut beside such a piece
         out: list[bytes] = []
@@ -239,8 +234,6 @@ class Cutter:
         ids = iter(self.of([p if i == 0 else " " + p for w in whole for i, p in enumerate(w)])) if again else iter(())
         for k, w in zip(again, whole):
             out[k] = b"".join([next(ids) for _ in w])
-        if len(known) > CACHED:
-            known.clear()
         return out
 
 

@@ -31,6 +31,8 @@ from turnstile.llm.common import filesystem, fresh, only, parts_for, ship, store
 #: Fixed values of the public seekable zstandard format, and of skippable frames.
 SEEKABLE_MAGIC, SEEK_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FRAME_BYTES, SHARD_TOKENS, LEVEL = 256 << 10, 64 << 20, 3
+#: Pieces that a worker remembers, and signs that end words.
+PIECES, SIGNS = 500_000, ".,;:!?"
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long, first_id long"
 
 
@@ -145,7 +147,22 @@ def library(path: str) -> tuple[Cutter, int]:
         own = Tokenizer.from_file(path)
         own.encode_special_tokens = True
 
+        marks: dict[str, bytes] = {}
+
         def pieces(items: list[str]) -> list[bytes]:
+            """Ids of pieces; signs after a letter always are a token run of their own, so words are met without them."""
+            cores, tails = [], []
+            for p in items:
+                core = p.rstrip(SIGNS)
+                cores.append(core if core != p and core[-1:].isalpha() else p)
+                tails.append(p[len(cores[-1]) :])
+            for t in set(tails) - marks.keys():
+                marks[t] = encoded([t])[0] if t else b""
+            met = list(set(cores))
+            known = dict(zip(met, encoded(met)))
+            return [known[c] + marks[t] for c, t in zip(cores, tails)]
+
+        def encoded(items: list[str]) -> list[bytes]:
             found = own.encode(items, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, "<u4")
             of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
@@ -153,7 +170,7 @@ def library(path: str) -> tuple[Cutter, int]:
             raw = ids.tobytes()
             return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-        _TOKENIZERS[path] = Cutter(pieces), max(own.get_vocab().values())
+        _TOKENIZERS[path] = Cutter(pieces, PIECES), max(own.get_vocab().values())
     return _TOKENIZERS[path]
 
 
@@ -185,7 +202,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             rows.append((part, seq, name, len(own.ids), own.n_tokens, size, own.ids[0]))
 
         for b in batches:
-            for i, j in some(b.column(1)):
+            for i, j in some(b.column(1), 4_000_000):
                 rows_now = b.slice(i, j - i)
                 for k, raw in zip(rows_now.column(0).to_pylist(), enc.encode([t or "" for t in rows_now.column(1).to_pylist()])):
                     if own is not None and own.n_tokens >= SHARD_TOKENS:
