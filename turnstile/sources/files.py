@@ -100,7 +100,7 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
     A file is read as one split so that numbers follow its lines; it is a batch of commands, not a table.
     """
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("qid", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("qid", "value"))
     return kept_lines(rows)
 
 
