@@ -1,39 +1,22 @@
-"""What the operators share: code shipping, the shared folder, words, hashing, components."""
+"""What the operators share: the shared folder, words, hashing, components."""
 
 from __future__ import annotations
 
 import ast
 import os
 import uuid
-import zipfile
-from pathlib import Path
 
 import numpy as np
-import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnstile.shipping import ship
+
 #: Where tables go when the session names no folder (tests on one machine only).
 FALLBACK_DIR = "/tmp/checkpoints/turnstile"
 
 
-def ship(spark: SparkSession) -> None:
-    """Give the package to the executors, once a session, whatever their Python path is."""
-    sc = spark.sparkContext
-    if getattr(sc, "_turnstile_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = Path(os.environ.get("TMPDIR", "/tmp")) / f"turnstile-{uuid.uuid4().hex}"
-    folder.mkdir(parents=True)
-    at = folder / "turnstile_code.zip"
-    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f"{root.name}/{f.relative_to(root)}")
-    sc.addPyFile(str(at.resolve()))
-    sc._turnstile_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else a fallback for tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -143,11 +126,6 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    """A record batch of named arrays."""
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array) else columns[f.name] for f in schema], schema=schema)
-
-
 def filesystem(uri: str):
     """pyarrow's view of a folder that may be a URI or a plain path: (file system, path)."""
     from pyarrow import fs

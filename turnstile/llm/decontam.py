@@ -116,4 +116,4 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated. Rows that share an id go together."""
     bad = decontamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")

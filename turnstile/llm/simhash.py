@@ -203,7 +203,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of docs, one of each component: that of the least id. Of repeated rows with that id one stays."""
     found = near_duplicates(docs, id_col, text_col, radius)
     keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(F.col("_keep")), "left_semi")
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
     return kept.dropDuplicates([id_col])
 
 

@@ -327,6 +327,6 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_spans(docs, id_col, text_col)
     cut = found.where(F.size("spans") > 0).select(id_col, "text_hash", "kept").mapInArrow(texts, f"_id {kind}, _hash long, _text string")
     cut = cut.groupBy("_id", "_hash").agg(F.first("_text").alias("_text"))
-    same = docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_col]) == F.col("_hash"))
+    same = docs[id_col].eqNullSafe(cut["_id"]) & (F.xxhash64(docs[text_col]) == cut["_hash"])
     rows = docs.join(cut, same, "left")
-    return rows.select(*[F.coalesce("_text", docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return rows.select(*[F.coalesce(cut["_text"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
