@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ast
+import io
 import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,41 @@ def parts_for(df: DataFrame, mb: int = 16) -> int:
     return max(least, min(200_000, -(-total_bytes(df) // (mb << 20))))
 
 
+def batches_for(df: DataFrame, mb: int = 8) -> int:
+    """How many batches of about so many MB of stored input; depends on the input alone."""
+    return max(12, -(-total_bytes(df) // (mb << 20)))
+
+
+def dealt(df: DataFrame, key: str, batches: int) -> DataFrame:
+    """(b, data): the rows of df dealt into batches by a hash of key, packed as compressed Arrow streams.
+
+    Every Arrow batch gives one block for each b, so that the shuffle moves few rows and compressed columns.
+    """
+    names = df.columns
+
+    def run(incoming):
+        for rows in incoming:
+            b = rows.column(0).to_numpy()
+            order = np.argsort(b, kind="stable")
+            own = rows.select(names).take(pa.array(order))
+            cut = np.flatnonzero(np.diff(b[order], prepend=-1))
+            data = []
+            for i, j in zip(cut, np.append(cut[1:], len(order))):
+                out = io.BytesIO()
+                with pa.ipc.new_stream(out, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(own.slice(i, j - i))
+                data.append(out.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array(b[order][cut], pa.int32()), pa.array(data, pa.binary())], names=["b", "data"])
+
+    return df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)).cast("int").alias("b"), "*").mapInArrow(run, "b int, data binary")
+
+
+def undealt(table: pa.Table) -> pa.Table | None:
+    """The rows of one batch; None without any."""
+    parts = [pa.ipc.open_stream(d).read_all() for d in table.column("data").to_pylist()]
+    return pa.concat_tables(parts) if parts else None
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the columns that an operator needs, so that other columns cannot clash with its own."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.bpe import some
-from turnstile.llm.common import held_out, lower_words, only, parts_for, ship, squeeze, unsqueeze
+from turnstile.llm.common import batches_for, dealt, held_out, lower_words, only, ship, squeeze, undealt, unsqueeze
 from turnstile.llm.suffix import M2, M3, mixed
 
 FOLDS, MIX, DAMP = 10, 0.5, 4.0
@@ -154,12 +154,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     probability 1. An empty table gives an empty result.
     """
     ship(docs.sparkSession)
-    batches = parts_for(docs, batch_mb)
-    parts = 4 * batches
+    parts = batches = batches_for(docs, batch_mb)
     tokens, types = training_size(docs, id_col, text_col, parts, folds)
     kind = docs.schema[id_col].dataType
     own = only(docs, id_col, text_col).select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("b"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), folds).alias("held_out")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col), folds).alias("held_out")
     )
     out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
 
@@ -167,11 +166,10 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
         return Batch(table.column("text").to_pylist(), ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
 
     def first(key, table):
-        return opened(table).sent(key[0].as_py(), parts)
+        return opened(undealt(table)).sent(key[0].as_py(), parts)
 
     def last(key, table, rows):
-        if not table.num_rows:
-            return pa.table({f.name: pa.array([], pa_kind) for f, pa_kind in zip(out.fields, [table.column("id").type, pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2])})
+        table = undealt(table)
         x = opened(table)
         count = x.totals(rows, parts)
         words, pairs = count[: x.n], count[x.n :]
@@ -183,6 +181,6 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
             "train_tokens": np.full(len(x.size), tokens, np.int64), "base_score": total(base[x.word]), "score": total(model.steps(x.word, x.history, x.pair)),
         })
 
-    by_batch = own.groupBy("b")
+    by_batch = dealt(own, "id", batches).groupBy("b")  # every batch gets counts, so cogroups have both sides
     counts = by_batch.applyInArrow(first, "p int, b int, data binary").groupBy("p").applyInArrow(add_up, "b int, p int, data binary")
     return by_batch.cogroup(counts.groupBy("b")).applyInArrow(last, out)
