@@ -187,6 +187,7 @@ def test_toxicity_learns_a_word_and_covers_the_text():
         ("<main><p>t</p><form><p>f</p></form><section id=comments><p>c</p></section></main><footer>f</footer>", ["t"]),
         ("<article><script>var t='</p><p>no'</script><p>a\n\n b</p><!-- <p>c --><div class='ad-box'><div>x</div>y</div><p hidden>h</p>z</article>", ["a b", "z"]),
         ("<article><ul><li>1<li class=share>2<li>3</ul></article>", ["1", "3"]), ("<article><p title='a > b'>k</p></article>", ["k"]),
+        ("<script>'<article>'</script><!-- <main> --><p>body</p>", ["body"]), ("<article></article><p>out</p>", []), ("<ARTICLE>İİİ<SCRIPT>x</Script>ok</ARTICLE>", ["İİİok"]),
     ],
 )
 def test_blocks(page, expected):

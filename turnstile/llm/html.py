@@ -33,7 +33,7 @@ SPACED = frozenset(["br", "td", "th"])
 #: Words of class and id names, and roles, of what is not the article.
 SIGNS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget toolbar pager pagination search skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-MARKED = r"(?i)<(article|main)\b|role\s*=\s*[\"']?main\b"
+MARKED = r"(?i)<(article|main)\b"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -58,8 +58,17 @@ def unwanted(tag: str, attributes: str) -> bool:
 def blocks(html: str | None) -> list[str]:
     """Text blocks of a page in order: of its articles if it has any, else of its main parts, else of its body."""
     html = html or ""
-    low = html.lower()
-    inside = "article" if "<article" in low else "main" if "<main" in low else None
+    for inside in ("article", "main"):
+        if re.search(f"<{inside}", html, re.I | re.A):
+            found, met = scanned(html, inside)
+            if met:
+                return found
+    return scanned(html, None)[0]
+
+
+def scanned(html: str, inside: str | None) -> tuple[list[str], bool]:
+    """(blocks inside the elements named, or anywhere; whether there was such an element)."""
+    met = False
     out: list[str] = []
     now: list[str] = []
     at = depth = skipped = 0
@@ -99,17 +108,16 @@ def blocks(html: str | None) -> list[str]:
         elif tag in BLOCK:
             flush()
             if tag == inside:
+                met = True
                 depth = max(0, depth + (-1 if closing else 1))
         elif tag in SPACED:
             text(" ")
         if tag in RAW and not closing:
-            end = low.find(f"</{tag}", at)
-            at = len(html) if end < 0 else end
-            if tag == "title":
-                continue
+            end = re.compile(f"</{tag}", re.I | re.A).search(html, at)
+            at = end.start() if end else len(html)
     text(html[at:])
     flush()
-    return out
+    return out, met
 
 
 def parsed(pages: DataFrame, keep: list[str], html_col: str) -> DataFrame:
