@@ -6,7 +6,7 @@ both stand on picked positions; sorting the picked suffixes then orders all of t
 24-byte gram of least hash is picked (about 7 % of the positions; fixed residues that leave grams as long
 would need a fifth of them). Two equal windows pick the same step. The operator then
 
-1. names the picked grams (64-bit hashes) and sorts the names over the cluster;
+1. names the picked grams (by hashes) and sorts the names over the cluster;
 2. carries the windows that pick a gram (its context: a run of window starts) along with its name; where
    all contexts of a name are one, the whole run is decided by the least document that has it;
 3. merges the rest: windows of names with several contexts are sorted by (name, window) and equal
@@ -15,7 +15,8 @@ would need a fifth of them). Two equal windows pick the same step. The operator
 A window is removed in each document greater than its least. Documents are dealt into batches by id and
 each batch sends every (name, context) and every window once, with its least document, so a passage that
 a third of all documents share costs one entry a batch. Equality is that of 64-bit hashes of the 50 bytes
-(48 bits between contexts of one name).
+(48 bits between contexts of one name). Names have 48 bits; two grams that share one just have their
+windows compared. The blocks that batches exchange are never more than the entries in them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, parts_for, ship, squeeze, text_bytes, unsqueeze
+from turnstile.llm.common import batches_for, dealt, only, ship, squeeze, text_bytes, tidied, undealt, unsqueeze
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
@@ -125,7 +126,7 @@ class Sample:
         context = mixed(context * M3 ^ h[np.minimum(a + GRAM, last)])
         context = mixed(context * M2 ^ h[last] ^ ((a - low) * 64 + (high - a + 32)).astype(np.uint64))
         begin = np.concatenate([[0], ends[:-1]])[doc] - base
-        return {"doc": doc + first, "low": low - begin, "high": high - begin, "name": h[a], "context": context >> np.uint64(16), "hashes": h, "shift": begin, "runs": len(at)}
+        return {"doc": doc + first, "low": low - begin, "high": high - begin, "name": h[a] >> np.uint64(16), "context": context >> np.uint64(16), "hashes": h, "shift": begin, "runs": len(at)}
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen runs: (run, start in the document, hash) of each window."""
@@ -168,7 +169,7 @@ class Batch:
         self.sample = s = Sample(self.texts)
         if "scope" in table.column_names:  # strings of one scope alone meet
             scope = np.array([table.column("scope")[i].as_py() for i in order], np.int64).view(np.uint64)
-            s.name = mixed(s.name ^ mixed(scope[s.doc] * M3)) if len(s.doc) else s.name
+            s.name = mixed(s.name ^ mixed(scope[s.doc] * M3)) >> np.uint64(16) if len(s.doc) else s.name
         self.place, (self.name, self.context), self.least, self.most = entries((s.name, s.context), self.ids[s.doc])
 
     def answers(self, rows: pa.Table, round_: int, n: int, name: np.ndarray, parts: int) -> np.ndarray:
@@ -266,7 +267,7 @@ def settle_windows(rows: pa.Table, every: bool = False) -> pa.Table:
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 2)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 8, scope_col: str | None = None, every: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 5, scope_col: str | None = None, every: bool = False) -> DataFrame:
     """(id, text_hash, n_bytes, spans array<struct<start, end>>, kept binary), one row for each row of docs.
 
     text_hash is xxhash64 of the text (of the empty text for a null); spans are the maximal runs of bytes covered by a LENGTH-byte string that also starts in a document of
@@ -275,38 +276,40 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     meet only within equal scopes; with every a string that two documents have goes from all of them.
     """
     ship(docs.sparkSession)
-    batches = parts_for(docs, batch_mb)
-    parts = 4 * batches
+    parts = batches = batches_for(docs, batch_mb)
     kind = docs.schema[id_col].dataType
-    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(batches)).cast("int").alias("b"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(F.col(scope_col)).alias("scope")] if scope_col else []))
+    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(F.col(scope_col)).alias("scope")] if scope_col else []))
     to_part, back = "p int, b int, data binary", "b int, round int, p int, data binary"
 
+    @tidied
     def first(key, table):
-        x = Batch(table)
+        x = Batch(undealt(table))
         return sent(key[0].as_py(), x.name, x.context, x.least, x.most, parts)
 
+    @tidied
     def second(key, table, rows):
-        if not table.num_rows:
-            return sent(0, *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2, parts)
-        x = Batch(table)
+        x = Batch(undealt(table))
         x.first_answers(rows, parts)
         return sent(key[0].as_py(), x.window_name, x.window_key, x.window_least, x.window_most, parts)
 
     out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("text_hash long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").fields])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @tidied
     def last(key, table, rows):
-        x = Batch(table) if table.num_rows else None
-        spans = x.removed(rows, parts, every) if x else []
+        table = undealt(table)
+        x = Batch(table)
+        spans = x.removed(rows, parts, every)
         kept = []
-        for raw, cut in zip(x.texts if x else [], spans):
+        for raw, cut in zip(x.texts, spans):
             edge = [0, *[e for s in cut for e in s], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
-        ids = table.column("id").take(pa.array(x.rows if x else [], pa.int64()))
-        hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in x.texts] if x else [], np.uint64).view(np.int64)
-        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts] if x else [], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.binary())})
+        ids = table.column("id").take(pa.array(x.rows, pa.int64()))
+        hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in x.texts], np.uint64).view(np.int64)
+        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.binary())})
 
-    by_batch = own.groupBy("b")
+    # every batch of documents gets its answers, so both sides of a cogroup always have rows
+    by_batch = dealt(own, "id", batches).groupBy("b")
     names = by_batch.applyInArrow(first, to_part).groupBy("p").applyInArrow(lambda t: settle_names(t, every), back)
     windows = by_batch.cogroup(names.groupBy("b")).applyInArrow(second, to_part).groupBy("p").applyInArrow(lambda t: settle_windows(t, every), back)
     return by_batch.cogroup(names.unionByName(windows).groupBy("b")).applyInArrow(last, out)
