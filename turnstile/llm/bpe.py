@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship
+from turnstile.llm.common import only, ship, tidied
 
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces that a Python worker remembers; beyond it only those of the latest texts stay.
@@ -298,7 +298,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                     made.append(pa.array([decoded(x, table) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[: len(names)], *made], names=[*names, *more])
 
-    return only(docs, *names, text_col).mapInArrow(run, schema)
+    return only(docs, *names, text_col).mapInArrow(tidied(run), schema)
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import ast
+import ctypes
+import functools
+import gc
+import inspect
 import io
 import os
+import sys
 import uuid
 
 import numpy as np
@@ -83,7 +88,7 @@ def dealt(df: DataFrame, key: str, batches: int) -> DataFrame:
                 data.append(out.getvalue())
             yield pa.RecordBatch.from_arrays([pa.array(b[order][cut], pa.int32()), pa.array(data, pa.binary())], names=["b", "data"])
 
-    return df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)).cast("int").alias("b"), "*").mapInArrow(run, "b int, data binary")
+    return df.select(F.pmod(F.xxhash64(F.col(key)), F.lit(batches)).cast("int").alias("b"), "*").mapInArrow(tidied(run), "b int, data binary")
 
 
 def undealt(table: pa.Table) -> pa.Table | None:
@@ -111,6 +116,37 @@ def lower_words(text: str | None) -> list[bytes]:
     return text_bytes(text).lower().split()
 
 
+def tidy() -> None:
+    """Give memory back at the end of a task: workers are used again, by other operators too."""
+    gc.enable()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(f):
+    """A function of batches or of groups that tidies up when it is done."""
+
+    @functools.wraps(f)
+    def batches(rows):
+        try:
+            yield from f(rows)
+        finally:
+            tidy()
+
+    def group(*parts):
+        try:
+            return f(*parts)
+        finally:
+            tidy()
+
+    if inspect.isgeneratorfunction(f):
+        return batches
+    # Spark counts the arguments of a group's function
+    return {1: lambda rows: group(rows), 2: lambda key, rows: group(key, rows), 3: lambda key, rows, more: group(key, rows, more)}[len(inspect.signature(f).parameters)]
+
+
 def held_out(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds, is 0; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship
+from turnstile.llm.common import only, ship, tidied
 from turnstile.llm.suffix import repeated_spans
 
 #: Elements by what becomes of them.
@@ -130,7 +130,7 @@ def parsed(pages: DataFrame, keep: list[str], html_col: str) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(["\n\n".join(blocks(h)) for h in b.column(len(keep)).to_pylist()], pa.string())], names=schema.names)
 
-    return only(pages, *keep, html_col).mapInArrow(run, schema)
+    return only(pages, *keep, html_col).mapInArrow(tidied(run), schema)
 
 
 def host(url):

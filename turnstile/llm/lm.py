@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.bpe import some
-from turnstile.llm.common import batches_for, dealt, held_out, lower_words, only, ship, squeeze, undealt, unsqueeze
+from turnstile.llm.common import batches_for, dealt, held_out, lower_words, only, ship, squeeze, tidied, undealt, unsqueeze
 from turnstile.llm.suffix import M2, M3, mixed
 
 FOLDS, MIX, DAMP = 10, 0.5, 4.0
@@ -141,7 +141,7 @@ def training_size(docs: DataFrame, id_col: str, text_col: str, parts: int, folds
         keys = np.concatenate([np.cumsum(unsqueeze(d)[0], dtype=np.uint64) for d in rows.column("data").to_pylist()])
         return pa.table({"n": [sum(rows.column("n").to_pylist())], "v": [len(np.unique(keys))]})
 
-    got = taught.mapInArrow(words, "p int, n long, data binary").groupBy("p").applyInArrow(distinct, "n long, v long")
+    got = taught.mapInArrow(tidied(words), "p int, n long, data binary").groupBy("p").applyInArrow(tidied(distinct), "n long, v long")
     n, v = got.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     return n, v
 
@@ -165,9 +165,11 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold
     def opened(table: pa.Table) -> Batch:
         return Batch(table.column("text").to_pylist(), ~table.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
 
+    @tidied
     def first(key, table):
         return opened(undealt(table)).sent(key[0].as_py(), parts)
 
+    @tidied
     def last(key, table, rows):
         table = undealt(table)
         x = opened(table)

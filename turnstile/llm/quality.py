@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship, squeeze, text_bytes, unsqueeze
+from turnstile.llm.common import only, ship, squeeze, text_bytes, tidied, unsqueeze
 from turnstile.llm.rules import labelled_sample
 
-BUCKETS, SAMPLE_ROWS, EPOCHS, CACHED = 1 << 16, 10_000, 12, 500_000
+BUCKETS, SAMPLE_ROWS, EPOCHS, CACHED = 1 << 16, 10_000, 12, 100_000
 LOWER, UPPER, DIGIT, HIGH = re.compile(rb"[a-z]+"), re.compile(rb"[A-Z]+"), re.compile(rb"[0-9]+"), re.compile(rb"[\x80-\xff]+")
 
 
@@ -132,7 +132,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_co
             packed = [squeeze(p.astype(np.int32), v) for p, v in map(own.of, b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
-    rows = sample.select(F.col(id_col).cast("string").alias("id"), text_col, F.col("label").cast("double").alias("label")).mapInArrow(run, "id string, label double, x binary").collect()
+    rows = sample.select(F.col(id_col).cast("string").alias("id"), text_col, F.col("label").cast("double").alias("label")).mapInArrow(tidied(run), "id string, label double, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     return fit([tuple(unsqueeze(r.x)) for r in rows], np.array([r.label for r in rows]))
 
@@ -150,7 +150,7 @@ def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
             tails = model.tails(score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.expected(tails)), pa.array(list(tails), pa.list_(pa.float64()))], names=schema.names)
 
-    return only(docs, id_col, text_col).mapInArrow(run, schema)
+    return only(docs, id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def graded(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -178,4 +178,4 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
             tails = model.tails(score)
             yield b.filter(pa.array(tails[:, 0] >= least if tails.shape[1] else np.ones(len(score), bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import components, local_components, lower_words, only, ship, stored
+from turnstile.llm.common import components, local_components, lower_words, only, ship, stored, tidied
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Members of a cell (or of each of two blocks) that one task holds.
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(lower_words(t)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
 
-    return only(docs, id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())]))
+    return only(docs, id_col, text_col).mapInArrow(tidied(run), T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())]))
 
 
 def signed(x: int) -> int:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.bpe import Cutter, some
-from turnstile.llm.common import filesystem, fresh, only, parts_for, ship, stored
+from turnstile.llm.common import filesystem, fresh, only, parts_for, ship, stored, tidied
 
 #: Fixed values of the public seekable zstandard format, and of skippable frames.
 SEEKABLE_MAGIC, SEEK_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
@@ -221,7 +221,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             names = [f.split()[0] for f in MANIFEST.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-    manifest, _ = stored(dealt.mapInArrow(run, MANIFEST), "token-manifest")
+    manifest, _ = stored(dealt.mapInArrow(tidied(run), MANIFEST), "token-manifest")
     return manifest
 
 
@@ -269,7 +269,7 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
                             yield pa.RecordBatch.from_arrays([pa.array(some_ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(raw, pa.binary())], names=["id", "start", "ids"])
                             some_ids, starts, raw, held = [], [], [], 0
 
-    return files.mapInArrow(run, "id long, start long, ids binary")
+    return files.mapInArrow(tidied(run), "id long, start long, ids binary")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> tuple[DataFrame, DataFrame]:

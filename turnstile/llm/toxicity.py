@@ -23,13 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnstile.llm.bpe import some
-from turnstile.llm.common import held_out, lower_words, only, ship, squeeze, unsqueeze
+from turnstile.llm.common import held_out, lower_words, only, ship, squeeze, tidied, unsqueeze
 from turnstile.llm.rules import labelled_sample
 
 BUCKETS, WIDTH, HIDDEN, WINDOW = 1 << 17, 8, 8, 32
 FOLDS, SAMPLE_ROWS, EPOCHS, ROUNDS, BATCH = 5, 6_000, 4, 2, 256
 #: Places that a word has: its form, leading 4 to 7 and trailing 3 and 4 bytes.
-PLACES, CACHED = 7, 150_000
+PLACES, CACHED = 7, 80_000
 EDGE = b".,;:!?\"'()[]{}*#$%&|<>-_/\\+="
 F4 = np.float32
 
@@ -285,7 +285,7 @@ def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(packed, pa.binary())], names=["id", "label", "x"])
 
     # a bounded sample; long documents enter whole
-    rows = sample.select(F.col(id_col).cast("string").alias("id"), text_col, F.col("label").cast("int").alias("label")).mapInArrow(run, "id string, label int, x binary").collect()
+    rows = sample.select(F.col(id_col).cast("string").alias("id"), text_col, F.col("label").cast("int").alias("label")).mapInArrow(tidied(run), "id string, label int, x binary").collect()
     rows.sort(key=lambda r: (r.id, r.x))
     return train([unsqueeze(r.x)[0].reshape(-1, PLACES) for r in rows], np.array([r.label for r in rows]))
 
@@ -305,7 +305,7 @@ def scored(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str
             for i, j in some(texts):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(own.of(texts.slice(i, j - i).to_pylist()))], names=schema.names)
 
-    return only(docs, id_col, text_col).mapInArrow(run, schema)
+    return only(docs, id_col, text_col).mapInArrow(tidied(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
