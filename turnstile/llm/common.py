@@ -22,6 +22,8 @@ from turnstile.shipping import ship
 
 #: Where tables go when the session names no folder (tests on one machine only).
 FALLBACK_DIR = "/tmp/checkpoints/turnstile"
+#: Spark takes frames that are not read from files to be about so large.
+UNKNOWN = 1 << 57
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,9 +52,13 @@ def drop_path(spark: SparkSession, at: str) -> None:
 
 
 def total_bytes(df: DataFrame) -> int:
-    """Bytes of the files that a frame reads, as Spark's statistics have them."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size))
+    """Bytes of the files that a frame reads, as Spark's statistics have them; its texts are measured if they do not know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < UNKNOWN:
+        return size
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    found = df.agg(F.count("*"), *[F.sum(F.octet_length(F.col(f"`{t}`"))) for t in texts]).first()
+    return sum(x or 0 for x in found)
 
 
 def parts_for(df: DataFrame, mb: int = 16) -> int:
