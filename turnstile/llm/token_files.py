@@ -14,6 +14,7 @@ each file of up to SHARD_TOKENS ids, so it is small enough for the driver.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 
@@ -136,8 +137,21 @@ class Reader:
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-def library(path: str) -> tuple[Cutter, int]:
-    """The tokenizers library's encoder of a JSON file behind a piece cache, and its largest id."""
+class Whole:
+    """Encodes texts as they are, each in one call of the library."""
+
+    def __init__(self, own):
+        self.own = own
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def library(path: str) -> tuple[Cutter | Whole, int]:
+    """The tokenizers library's encoder of a JSON file behind a piece cache, and its largest id.
+
+    Added tokens of the file that a text spells out are met, as the library meets them by default.
+    """
     if path not in _TOKENIZERS:
         import os
 
@@ -145,7 +159,11 @@ def library(path: str) -> tuple[Cutter, int]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        own.encode_special_tokens = True
+        top = max(own.get_vocab().values())
+        if any(t.rstrip or re.search(rf"[\s{SIGNS}]", t.content) for t in own.get_added_tokens_decoder().values()):
+            # such a token can reach over the places where texts are cut
+            _TOKENIZERS[path] = Whole(own), top
+            return _TOKENIZERS[path]
 
         marks: dict[str, bytes] = {}
 
@@ -170,7 +188,7 @@ def library(path: str) -> tuple[Cutter, int]:
             raw = ids.tobytes()
             return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
-        _TOKENIZERS[path] = Cutter(pieces, PIECES), max(own.get_vocab().values())
+        _TOKENIZERS[path] = Cutter(pieces, PIECES), top
     return _TOKENIZERS[path]
 
 
