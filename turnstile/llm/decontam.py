@@ -114,6 +114,8 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated. Rows that share an id go together."""
-    bad = decontamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_bad"]), "left_anti")
+    """The rows of docs that are not contaminated. Each row is judged on its own text; equal rows go together."""
+    row = lambda: F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    own = docs.select(row().alias("_row"), F.col(f"`{text_col}`").alias("_words"))
+    bad = decontamination(own, items, "_row", "_words", "item_id", "text").where("contaminated").select(F.col("_row").alias("_bad")).distinct()
+    return docs.join(bad, row() == F.col("_bad"), "left_anti")

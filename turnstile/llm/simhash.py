@@ -51,17 +51,19 @@ def fingerprint(tokens: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) of every row; a null or blank text has fingerprint 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """(id, fp long) of every row, with hashed also text_hash, Spark's xxhash64 of the text; a null or blank text has fingerprint 0."""
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType
+    more = ["text_hash"] if hashed else []
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(lower_words(t)) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=[id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=[id_col, "fp", *more])
 
-    return only(docs, id_col, text_col).mapInArrow(tidied(run), T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())]))
+    own = only(docs, id_col, text_col).select("*", *[F.xxhash64(F.col(f"`{text_col}`")).alias(m) for m in more])
+    return own.mapInArrow(tidied(run), T.StructType([T.StructField(id_col, kind), *[T.StructField(n, T.LongType()) for n in ("fp", *more)]]))
 
 
 def signed(x: int) -> int:
@@ -181,6 +183,13 @@ def links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, block
     return members.select("members").mapInArrow(lambda it: cell_links(it, radius), "a long, b long").distinct()
 
 
+def rooted(rows: DataFrame, least, radius: int) -> DataFrame:
+    """(fp, least, root) of every fingerprint of rows: an aggregate of its rows, and the least fingerprint of its component."""
+    fps = rows.groupBy("fp").agg(least.alias("least"))
+    roots = components(links(fps.select("fp"), radius), "simhash-edges")
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """(id, fp long, component_id) of every row.
 
@@ -191,20 +200,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows, _ = stored(fingerprints(docs, id_col, text_col), "simhash")
-    fps = rows.groupBy("fp").agg(F.min(id_col).alias("least"))
-    roots = components(links(fps.select("fp"), radius), "simhash-edges")
-    nodes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = rooted(rows, F.min(id_col), radius)
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, one of each component: that of the least id. Of repeated rows with that id one stays."""
-    found = near_duplicates(docs, id_col, text_col, radius)
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]), "left_semi")
-    return kept.dropDuplicates([id_col])
+    """The rows of docs, one of each component: that of the least id, of rows with that id the one whose text hashes least.
+
+    A row without an id stays only if no row of its component has one. Of rows equal in id and text one stays.
+    """
+    rows, _ = stored(fingerprints(docs, id_col, text_col, hashed=True), "simhash")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_hash").alias("hash")))
+    keep = rooted(rows, first, radius).groupBy("root").agg(F.min("least").alias("least"))
+    keep = keep.select(F.col("least.id").alias("_keep"), F.col("least.hash").alias("_hash"))
+    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_keep"]) & (F.xxhash64(docs[text_col]) == keep["_hash"]), "left_semi")
+    return kept.dropDuplicates([id_col, text_col])
 
 
 def hex_fingerprint(fp):
