@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import public_tokenizers as P
-from turnstile.llm import decontam, simhash, token_files
+from turnstile.llm import decontam, html, simhash, suffix, token_files
 
 MARK = "<|endoftext|>"
 
@@ -55,3 +55,36 @@ def test_clean_judges_rows(spark):
     got = decontam.clean(docs, items)
     assert got.columns == docs.columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, a), (5, b), (5, b), (6, None), (None, None)])
+
+
+def test_copied_articles(spark):
+    """op6: on a host's unmarked pages a mirrored article and a quoted sentence stay, what its pages share goes."""
+    foot, article, quote, first, second = (prose(s, 30) for s in range(20, 25))
+    rows = [(1, "a", article, foot), (2, "b", article, foot), (3, "c", f"{first} {quote}", foot), (4, "d", f"{quote} {second}", foot), (5, "e", "short", foot), (6, "f", article, "other foot")]
+    rows = [(i, f"http://h.example/{u}", f"<p>{t}</p><p>{f}</p>") for i, u, t, f in rows] + [(i, f"http://one.example/{i}", f"<p>{article}</p>") for i in (7, 8, 9)]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string")
+    expected = {1: article, 2: article, 3: f"{first} {quote}", 4: f"{quote} {second}", 5: "short", 6: f"{article}\n\nother foot", 7: article, 8: article, 9: article}
+    got = [(r.page_id, r.text) for r in html.main_text(pages).collect()]
+    assert Counter(got) == Counter([*expected.items(), (1, article)])
+
+
+def test_strings_of_a_scope(spark):
+    """op6: what goes from all is what brute force counts in enough distinct documents of a scope."""
+    r = np.random.default_rng(4)
+    parts = [prose(s, 15) for s in range(30, 42)]
+    docs = [(i, int(r.integers(0, 3)) if i < 60 else 3, " ".join([parts[k] for k in r.integers(0, 12 if i < 30 else 5, 3)] + [prose(100 + i, 4)])) for i in range(62)]
+    docs += [(100 + i, 4, f"{parts[i % 12 if i % 4 else 1]} {prose(200 + i, 4)} {parts[(i * 5) % 12]}") for i in range(45)]
+    got = suffix.repeated_spans(spark.createDataFrame(docs, "doc_id long, scope long, text string"), scope_col="scope", every=True).collect()
+    held, size = {}, Counter(s for _, s, _ in docs)
+    for i, s, t in docs:
+        for k in range(len(t) - 49):
+            held.setdefault((s, t[k : k + 50]), set()).add(i)
+    expected = {}
+    for i, s, t in docs:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 49):
+            if len(held[s, t[k : k + 50]]) >= max(min(3, size[s]), size[s] / 10):
+                gone[k : k + 50] = True
+        expected[i] = "".join(c for c, g in zip(t, gone) if not g)
+    assert {x.doc_id: x.kept.decode() for x in got} == expected
+    assert 0 < sum(map(len, expected.values())) < sum(len(t) for _, _, t in docs)

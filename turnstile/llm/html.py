@@ -3,8 +3,10 @@
 Markup says most: where a page marks its article, the article is the text, without the elements that are
 known to hold menus, adverts, forms and the like. A page that marks none is left open: of its blocks those
 runs go that other pages of the same host also have. They are found by the suffix order of
-turnstile.llm.suffix, kept apart by host: strings of 50 bytes or more that distinct pages of a host share are
-boilerplate in each of them, and the unique runs stay.
+turnstile.llm.suffix, kept apart by host: strings of 50 bytes or more that three distinct texts of a host share, and
+one in ten of them, are boilerplate in each of them (both, of two), and the other runs stay. Pages of one
+host with one text count as one page, so what is published under several addresses is no boilerplate, nor is
+what two pages of many quote.
 
 The shared strings alone cannot decide for marked pages: adverts and menus differ from page to page, while
 articles are copied between pages of one host.
@@ -148,20 +150,20 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """(id, url, text), one row for each row of pages.
 
     A null or empty page, or one with nothing but boilerplate, has an empty text. Unclosed elements run to the
-    next that closes them. Repeated rows are one page: they do not take from each other. Pages without a
-    host share the empty one.
+    next that closes them. Pages of a host with the same text are one page: they do not take from each other.
+    Pages without a host share the empty one.
     """
-    ship(pages.sparkSession)
     keep = [id_col, url_col]
     marked = F.coalesce(F.col(html_col).rlike(MARKED), F.lit(True))
     closed = parsed(pages.where(marked), keep, html_col)
-    open_ = parsed(pages.where(~marked), keep, html_col).withColumn("_row", F.xxhash64(id_col, url_col)).withColumn("_host", host(F.col(url_col)))
-    spans = repeated_spans(open_, "_row", "text", scope_col="_host", every=True).select(F.col("_row").alias("_of"), F.col("text_hash"), "kept")
+    open_ = parsed(pages.where(~marked), keep, html_col).withColumn("_host", host(F.col(url_col)))
+    row = F.xxhash64("_host", "text")
+    spans = repeated_spans(open_.select("_host", "text").distinct().withColumn("_row", row), "_row", "text", scope_col="_host", every=True).select(F.col("_row").alias("_of"), F.col("text_hash"), "kept")
 
     def texts(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([unique_runs(k) for k in b.column(2).to_pylist()], pa.string())], names=["_of", "text_hash", "_text"])
 
-    cut = spans.mapInArrow(texts, "_of long, text_hash long, _text string").groupBy("_of", "text_hash").agg(F.first("_text").alias("_text"))
-    left = open_.join(cut, (F.col("_row") == F.col("_of")) & (F.xxhash64("text") == F.col("text_hash"))).select(*keep, F.col("_text").alias("text"))
+    cut = spans.mapInArrow(texts, "_of long, text_hash long, _text string")
+    left = open_.join(cut, (row == F.col("_of")) & (F.xxhash64("text") == F.col("text_hash"))).select(*keep, F.col("_text").alias("text"))
     return closed.unionByName(left)

@@ -36,6 +36,8 @@ SPAN = LENGTH - GRAM + 1  # gram starts in a window
 CHUNK_BITS = 20
 NO_ID = -(1 << 63)
 MULTI = 1
+#: With every, so many documents of a scope must hold a string (two, if there are just two), and one in so many of them.
+HELD, SHARE = 3, 10
 #: Odd constants of 64-bit mixing.
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -158,10 +160,24 @@ def entries(keys: tuple[np.ndarray, ...], doc: np.ndarray):
     return place, [k[order][at] for k in keys], np.minimum.reduceat(own, at) if len(at) else own, np.maximum.reduceat(own, at) if len(at) else own
 
 
+def holders(place: np.ndarray, n: int, doc: np.ndarray) -> np.ndarray:
+    """How many distinct documents have each of n keys."""
+    order = np.lexsort((doc, place))
+    place, doc = place[order], doc[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
+    return np.bincount(place[new], minlength=n).astype(np.int64)
+
+
+def wanted(docs: np.ndarray) -> np.ndarray:
+    """How many documents must hold a string before it goes from all, by the number of documents in the scope."""
+    return np.maximum(np.clip(docs, 2, HELD), -(-docs // SHARE))
+
+
 class Batch:
     """Documents of one batch in a fixed order, and what the two rounds make of them."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, every: bool = False):
         ids, raw = table.column("id").to_pylist(), [text_bytes(t) for t in table.column("text").to_pylist()]
         order = sorted(range(len(raw)), key=lambda i: (NO_ID if ids[i] is None else ids[i], raw[i]))
         self.rows, self.texts = order, [raw[i] for i in order]
@@ -171,6 +187,13 @@ class Batch:
             scope = np.array([table.column("scope")[i].as_py() for i in order], np.int64).view(np.uint64)
             s.name = mixed(s.name ^ mixed(scope[s.doc] * M3)) >> np.uint64(16) if len(s.doc) else s.name
         self.place, (self.name, self.context), self.least, self.most = entries((s.name, s.context), self.ids[s.doc])
+        self.every = every
+        if every:  # what is sent is how many documents hold an entry; behind the entries the scopes themselves
+            self.scopes, self.scope = np.unique(scope, return_inverse=True)
+            held = holders(self.place, len(self.name), self.ids[s.doc])
+            self.least = self.most = np.concatenate([held, holders(self.scope, len(self.scopes), self.ids)])
+            self.name = np.concatenate([self.name, mixed(self.scopes * M2) >> np.uint64(16)])
+            self.context = np.concatenate([self.context, np.zeros(len(self.scopes), np.uint64)])
 
     def answers(self, rows: pa.Table, round_: int, n: int, name: np.ndarray, parts: int) -> np.ndarray:
         """What came back for n entries that were sent in order of (part, entry)."""
@@ -184,23 +207,29 @@ class Batch:
 
     def first_answers(self, rows: pa.Table, parts: int) -> None:
         back = self.answers(rows, 1, len(self.name), self.name, parts)
-        self.several = (back == MULTI)[self.place] if len(back) else np.empty(0, bool)
-        self.found = self.least + np.minimum(back, 0)
+        if self.every:
+            n = len(self.name) - len(self.scopes)
+            held, self.need = back[:n][self.place], wanted(back[n:])[self.scope][self.sample.doc]
+            self.gone, self.several = held >= self.need, -held >= self.need
+        else:
+            self.several = (back == MULTI)[self.place] if len(back) else np.empty(0, bool)
+            self.found = self.least + np.minimum(back, 0)
         self.run, self.start, self.window = self.sample.windows(self.several)
         doc = self.ids[self.sample.doc[self.run]] if len(self.run) else np.empty(0, np.int64)
         self.window_place, (self.window_name, self.window_key), self.window_least, self.window_most = entries((self.sample.name[self.run], self.window), doc)
+        if self.every:
+            self.window_least = self.window_most = holders(self.window_place, len(self.window_name), doc)
 
-    def removed(self, rows: pa.Table, parts: int, every: bool = False) -> list[list[tuple[int, int]]]:
+    def removed(self, rows: pa.Table, parts: int) -> list[list[tuple[int, int]]]:
         """Spans of each document, in the batch's order."""
         self.first_answers(rows, parts)
         s = self.sample
         back = self.answers(rows, 2, len(self.window_name), self.window_name, parts)
-        back_first = self.found - self.least
-        gone = ~self.several & (self.found[self.place] < self.ids[s.doc]) if len(self.place) else np.empty(0, bool)
-        hit = (self.window_least + back)[self.window_place] < self.ids[s.doc[self.run]] if len(self.run) else np.empty(0, bool)
-        if every:  # whatever more than one document has, in all of them
-            gone = ~self.several & (back_first[self.place] < 0) if len(self.place) else gone
-            hit = (back < 0)[self.window_place] if len(self.run) else hit
+        if self.every:
+            gone, hit = self.gone, back[self.window_place] >= self.need[self.run]
+        else:
+            gone = ~self.several & (self.found[self.place] < self.ids[s.doc]) if len(self.place) else np.empty(0, bool)
+            hit = (self.window_least + back)[self.window_place] < self.ids[s.doc[self.run]] if len(self.run) else np.empty(0, bool)
         doc = np.concatenate([s.doc[gone], s.doc[self.run[hit]]])
         low = np.concatenate([s.low[gone], self.start[hit]])
         high = np.concatenate([s.high[gone], self.start[hit]]) + LENGTH
@@ -242,28 +271,37 @@ def returned(blocks: list[int], sizes: list[int], part: int, value: np.ndarray,
     return pa.table({"b": pa.array(blocks, pa.int32()), "round": pa.array([round_] * len(blocks), pa.int32()), "p": pa.array([part] * len(blocks), pa.int32()), "data": pa.array([squeeze(value[i:j]) for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
+def added(place: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
+    """Sums of the counts of each of n keys."""
+    total = np.zeros(n, np.int64)
+    np.add.at(total, place, count)
+    return total
+
+
 def settle_names(rows: pa.Table, every: bool = False) -> pa.Table:
     """Of each entry: how far below its own least document the name's is, or MULTI if its contexts differ.
 
-    With every: -1 where more than one document has it, else 0.
+    With every: how many documents hold it, less than 0 if its contexts differ (then at most so many hold each).
     """
     blocks, sizes, name, context, least, most = opened(rows)
-    place, _, low, high = entries((name,), least)
+    place, _, low, _ = entries((name,), least)
     _, _, _, top = entries((name,), most)
     one = np.full(len(low), np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(one, place, context)
     differ = np.zeros(len(low), bool)
     differ[place[context != one[place]]] = True
-    value = np.where(differ[place] & (low != top)[place], MULTI, -(low != top).astype(np.int64)[place] if every else low[place] - least)
+    if every:
+        value = (added(place, len(low), least) * np.where(differ, -1, 1))[place]
+    else:
+        value = np.where(differ[place] & (low != top)[place], MULTI, low[place] - least)
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 1)
 
 
 def settle_windows(rows: pa.Table, every: bool = False) -> pa.Table:
-    """Of each entry: how far below its own least document that of the equal windows is; with every as above."""
+    """Of each entry: how far below its own least document that of the equal windows is; with every how many documents hold it."""
     blocks, sizes, name, window, least, most = opened(rows)
     place, _, low, _ = entries((name, window), least)
-    _, _, _, top = entries((name, window), most)
-    value = -(low != top).astype(np.int64)[place] if every else low[place] - least
+    value = added(place, len(low), least)[place] if every else low[place] - least
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 2)
 
 
@@ -273,22 +311,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text_hash is xxhash64 of the text (of the empty text for a null); spans are the maximal runs of bytes covered by a LENGTH-byte string that also starts in a document of
     smaller id; kept is the rest. A null text counts as empty; texts under LENGTH bytes keep all. Rows of
     one id do not take from each other. A row without an id counts as the smallest. With scope_col strings
-    meet only within equal scopes; with every a string that two documents have goes from all of them.
+    meet only within equal scopes; with every a string that HELD documents of its scope and one in SHARE of them
+    have goes from all of them (of a scope of two documents, what both have). Rows of one id count as one document.
     """
     ship(docs.sparkSession)
     parts = batches = batches_for(docs, batch_mb)
     kind = docs.schema[id_col].dataType
-    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.xxhash64(F.col(scope_col)).alias("scope")] if scope_col else []))
+    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([(F.xxhash64(F.col(scope_col)) if scope_col else F.lit(0).cast("long")).alias("scope")] if scope_col or every else []))
     to_part, back = "p int, b int, data binary", "b int, round int, p int, data binary"
 
     @tidied
     def first(key, table):
-        x = Batch(undealt(table))
+        x = Batch(undealt(table), every)
         return sent(key[0].as_py(), x.name, x.context, x.least, x.most, parts)
 
     @tidied
     def second(key, table, rows):
-        x = Batch(undealt(table))
+        x = Batch(undealt(table), every)
         x.first_answers(rows, parts)
         return sent(key[0].as_py(), x.window_name, x.window_key, x.window_least, x.window_most, parts)
 
@@ -298,8 +337,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @tidied
     def last(key, table, rows):
         table = undealt(table)
-        x = Batch(table)
-        spans = x.removed(rows, parts, every)
+        x = Batch(table, every)
+        spans = x.removed(rows, parts)
         kept = []
         for raw, cut in zip(x.texts, spans):
             edge = [0, *[e for s in cut for e in s], len(raw)]
