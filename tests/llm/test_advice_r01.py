@@ -88,3 +88,29 @@ def test_strings_of_a_scope(spark):
         expected[i] = "".join(c for c, g in zip(t, gone) if not g)
     assert {x.doc_id: x.kept.decode() for x in got} == expected
     assert 0 < sum(map(len, expected.values())) < sum(len(t) for _, _, t in docs)
+
+
+T, U = prose(50, 30), prose(51, 5)
+
+
+@pytest.mark.parametrize(
+    "page, expected",
+    [
+        (f"<article></article><p>{T}</p>", ([T], True)), (f"<div>{T}</div><article class='related'>{U}</article>", ([T], True)),
+        (f"<main><p>{T}</p><article>{U}</article></main>", ([T, U], False)), (f"<main><p>{T}</p><article class=related>{U}</article></main>", ([T], False)),
+        (f"<article>{T}</article><article role=complementary>{U}</article><p>{U}</p>", ([T], False)), (f"<div>{U}</div><article class='post has-sidebar'>{T}</article>", ([U, T], True)),
+        (f"<article class=promo><article>{U}</article></article><article>{T}</article>", ([T], False)), (f"<main></main><article>{T}</article>", ([T], False)),
+        (f"<article-card>{T}</article-card>", ([T], True)), (f"<script>'<article>'</script><!-- <main> -->{T}", ([T], True)), (None, ([], True)),
+    ],
+)
+def test_main_blocks(page, expected):
+    """op6: an article that does not hold the larger part of a page is not its text; whether a page is open is told by elements."""
+    assert html.main_blocks(page) == expected
+
+
+def test_open_pages(spark):
+    """op6: pages that only mention an article element lose what their host shares, and keep their text."""
+    foot, own = prose(60, 30), [f"{prose(s, 30)} {s}" for s in (61, 72, 83, 94)]
+    rows = [(i, f"http://h.example/{i}", f"<script>'<article>'</script><p>{t}</p><p>{foot}</p><article></article>") for i, t in enumerate(own)]
+    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == dict(enumerate(own))

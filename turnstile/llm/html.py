@@ -1,8 +1,9 @@
 """Main text of web pages.
 
 Markup says most: where a page marks its article, the article is the text, without the elements that are
-known to hold menus, adverts, forms and the like. A page that marks none is left open: of its blocks those
-runs go that other pages of the same host also have. They are found by the suffix order of
+known to hold menus, adverts, forms and the like. It is the article only if it holds the larger part of the text
+of the page's main part, or of the body; else the main part is the text. A page that marks neither is left
+open: of its blocks those runs go that other pages of the same host also have. They are found by the suffix order of
 turnstile.llm.suffix, kept apart by host: strings of 50 bytes or more that three distinct texts of a host share, and
 one in ten of them, are boilerplate in each of them (both, of two), and the other runs stay. Pages of one
 host with one text count as one page, so what is published under several addresses is no boilerplate, nor is
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship, tidied
+from turnstile.llm.common import only, ship, stored, tidied
 from turnstile.llm.suffix import repeated_spans
 
 #: Elements by what becomes of them.
@@ -35,7 +36,6 @@ SPACED = frozenset(["br", "td", "th"])
 #: Words of class and id names, and roles, of what is not the article.
 SIGNS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget toolbar pager pagination search skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-MARKED = r"(?i)<(article|main)\b"
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -48,32 +48,59 @@ def unwanted(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
         return False
+    if named(attributes):
+        return True
     for name, value in NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not SIGNS.isdisjoint(WORDS.findall(value)):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDES.search(value):
             return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDES.search(value):
+    return False
+
+
+def named(attributes: str) -> bool:
+    """Whether the class, id or role of an element names what is not the article."""
+    for name, value in NAMES.findall(attributes):
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name in ("class", "id") and not SIGNS.isdisjoint(WORDS.findall(value)) or name == "role" and value in ROLES:
             return True
     return False
 
 
 def blocks(html: str | None) -> list[str]:
     """Text blocks of a page in order: of its articles if it has any, else of its main parts, else of its body."""
-    html = html or ""
-    for inside in ("article", "main"):
-        if re.search(f"<{inside}", html, re.I | re.A):
-            found, met = scanned(html, inside)
-            if met:
-                return found
-    return scanned(html, None)[0]
-
-
-def scanned(html: str, inside: str | None) -> tuple[list[str], bool]:
-    """(blocks inside the elements named, or anywhere; whether there was such an element)."""
-    met = False
-    out: list[str] = []
+    found, met = scanned(html or "")
+    return [t for t, where in found if not met or ("article" if "article" in met else "main") in where]
+
+
+def main_blocks(html: str | None) -> tuple[list[str], bool]:
+    """(text blocks of a page in order, whether no element says which of them are the article).
+
+    Articles whose class, id or role names what is not the article go, if the rest is larger. Then the articles
+    are the text if they hold the larger part of the main part's, or without one of the body's; else the main part.
+    """
+    found, _ = scanned(html or "")
+    size = lambda rows: sum(len(t) for t, _ in rows)
+    rest = [x for x in found if "aside" not in x[1]]
+    doubtful = size(found) > 2 * size(rest)
+    body = found if doubtful else rest
+    main = [x for x in body if "main" in x[1]]
+    articles = [x for x in body if "article" in x[1]]
+    if articles and not doubtful and 2 * size(articles) > size(main or body):
+        return [t for t, _ in articles], False
+    return [t for t, _ in main or body], not main
+
+
+def scanned(html: str) -> tuple[list[tuple[str, frozenset[str]]], set[str]]:
+    """(blocks, each with those of article, main and aside that it is in; which of article and main there are).
+
+    aside: an article whose class, id or role names what is not the article.
+    """
+    met: set[str] = set()
+    out: list[tuple[str, frozenset[str]]] = []
     now: list[str] = []
-    at = depth = skipped = 0
+    depth = {"article": 0, "main": 0}
+    aside: list[int] = []  # the depths at which such articles stand
+    at = skipped = 0
     skip = ""
 
     def flush() -> None:
@@ -81,10 +108,10 @@ def scanned(html: str, inside: str | None) -> tuple[list[str], bool]:
             text = " ".join(unescape("".join(now)).split())
             now.clear()
             if text:
-                out.append(text)
+                out.append((text, frozenset([k for k, n in depth.items() if n] + ["aside"] * bool(aside))))
 
     def text(part: str) -> None:
-        if part and not skip and (depth or inside is None):
+        if part and not skip:
             now.append(part)
 
     while m := TOKEN.search(html, at):
@@ -109,9 +136,13 @@ def scanned(html: str, inside: str | None) -> tuple[list[str], bool]:
                 skip, skipped = tag, 1
         elif tag in BLOCK:
             flush()
-            if tag == inside:
-                met = True
-                depth = max(0, depth + (-1 if closing else 1))
+            if tag in depth:
+                met.add(tag)
+                depth[tag] = max(0, depth[tag] + (-1 if closing else 1))
+                if tag == "article" and not closing and named(attributes):
+                    aside.append(depth[tag])
+                while aside and aside[-1] > depth["article"]:
+                    aside.pop()
         elif tag in SPACED:
             text(" ")
         if tag in RAW and not closing:
@@ -123,14 +154,15 @@ def scanned(html: str, inside: str | None) -> tuple[list[str], bool]:
 
 
 def parsed(pages: DataFrame, keep: list[str], html_col: str) -> DataFrame:
-    """The kept columns and text: blocks joined by two line ends."""
+    """The kept columns, text: blocks joined by two line ends, and _open: whether no element marks them."""
     ship(pages.sparkSession)
-    schema = T.StructType([*[pages.schema[k] for k in keep], T.StructField("text", T.StringType())])
+    schema = T.StructType([*[pages.schema[k] for k in keep], T.StructField("text", T.StringType()), T.StructField("_open", T.BooleanType())])
 
     def run(batches):
         gc.disable()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(["\n\n".join(blocks(h)) for h in b.column(len(keep)).to_pylist()], pa.string())], names=schema.names)
+            found = [main_blocks(h) for h in b.column(len(keep)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(["\n\n".join(x) for x, _ in found], pa.string()), pa.array([o for _, o in found], pa.bool_())], names=schema.names)
 
     return only(pages, *keep, html_col).mapInArrow(tidied(run), schema)
 
@@ -154,9 +186,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     Pages without a host share the empty one.
     """
     keep = [id_col, url_col]
-    marked = F.coalesce(F.col(html_col).rlike(MARKED), F.lit(True))
-    closed = parsed(pages.where(marked), keep, html_col)
-    open_ = parsed(pages.where(~marked), keep, html_col).withColumn("_host", host(F.col(url_col)))
+    rows, _ = stored(parsed(pages, keep, html_col), "page-texts")
+    closed = rows.where(~F.col("_open")).select(*keep, "text")
+    open_ = rows.where("_open").select(*keep, "text").withColumn("_host", host(F.col(url_col)))
     row = F.xxhash64("_host", "text")
     spans = repeated_spans(open_.select("_host", "text").distinct().withColumn("_row", row), "_row", "text", scope_col="_host", every=True).select(F.col("_row").alias("_of"), F.col("text_hash"), "kept")
 
