@@ -344,7 +344,7 @@ def annotate_upsert(spark, d):
     own = customers(spark, d)
     old = own.select(F.col("who").alias("atom"), F.lit("first").alias("description"))
     new = own.where(F.array_contains("texts", said("Debtor"))).select(F.col("who").alias("atom"), F.lit("second").alias("description"))
-    return old.join(new, "atom", "left_anti").unionByName(new)
+    return Base(spark).add_rows(annotations=old).add_rows(annotations=new).annotations
 
 
 @query("SELECT text, false AS bare_ok, true AS onto_ok FROM (SELECT pred || '(' || arg || ')' AS text FROM (" + abox.concepts_sql("customer") + ")) UNION ALL SELECT concat('c', c_custkey), true, false FROM customer")

@@ -165,8 +165,11 @@ class Base:
     def register_joint_commitment(self, concepts, concept: str, annotation=None) -> None:
         self.register("jointCommitment", concepts, concept, annotation)
 
-    def add_rows(self, language: DataFrame | None = None, consequences: DataFrame | None = None, schemas: DataFrame | None = None) -> Base:
-        """Bulk edits of valid rows: atoms, rules (whose members join the language), schemas (type, arg1, arg2)."""
+    def add_rows(self, language: DataFrame | None = None, consequences: DataFrame | None = None, schemas: DataFrame | None = None, annotations: DataFrame | None = None) -> Base:
+        """Bulk edits of valid rows: atoms, rules (whose members join the language), schemas (type, arg1, arg2), annotations (atom, description).
+
+        An annotation replaces an earlier one of its key; of several in the frame the greatest text counts.
+        """
         self.flush()
         if consequences is not None:
             own = consequences.select(C.canonical(F.col("antecedent")).alias("antecedent"), C.canonical(F.col("consequent")).alias("consequent"))
@@ -179,6 +182,9 @@ class Base:
             own = schemas.select(F.lit(self._seq).cast("long").alias("seq"), "type", "arg1", "arg2", F.lit(None).cast("string").alias("annotation"))
             self._schemas = self._schemas.union(own)
             self._seq += 1
+        if annotations is not None:
+            own = annotations.groupBy("atom").agg(F.max("description").alias("description"))
+            self._annotations = self._annotations.join(own, "atom", "left_anti").unionByName(own)
         return self
 
     def register_axioms(self, provider) -> None:
