@@ -137,9 +137,9 @@ def containment(spark, d):
     return answers(sequents(customers(spark, d), F.col("texts"), [said("Debtor")]), Base(spark, onto=True))
 
 
-def ground_rules(spark, d) -> Base:
-    """One rule for each customer with an even key: a debtor of the segment BUILDING is a risk."""
-    own = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("who"))
+def ground_rules(spark, d, where: str = "c_custkey % 2 = 0") -> Base:
+    """One rule for each customer of a condition, by default with an even key: a debtor of the segment BUILDING is a risk."""
+    own = spark.read.parquet(f"{d}/customer.parquet").where(where).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("who"))
     rules = own.select(F.array(said("SegBUILDING"), said("Debtor")).alias("antecedent"), F.array(said("Risk")).alias("consequent"))
     return Base(spark, onto=True).add_rows(consequences=rules)
 
@@ -366,8 +366,8 @@ def ask_responses(spark, d):
 
 @query()
 def base_to_json(spark, d):
-    """A base as one JSON text."""
-    base = ground_rules(spark, d)
+    """A base with a rule for every customer as one JSON text."""
+    base = ground_rules(spark, d, "true")
     return files.document(base).select(F.to_json(F.struct("*")).alias("json"))
 
 
