@@ -6,6 +6,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -25,11 +26,30 @@ def test_bpe_equals_the_library():
     r = random.Random(2)
     texts = ["", " ", "  a", "a  b", " a b ", "x\n\ny  \n z", "a" * 2000, " " * 600, "é" * 700 + "  " + "ab" * 900, "don't we'll 'tis", "<|endoftext|>", "日本語 テスト  ok", "a\x1c b", "x   y"]
     texts += ["".join(r.choice(" \n\tab'sé1.,日") for _ in range(r.randint(1, 60))) for _ in range(500)]
-    ids = own.encode(texts)
-    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [ref.encode_ordinary(t) for t in texts]
+    ids = bpe.id_bytes(*own.encode(pa.array(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids.to_pylist()] == [ref.encode_ordinary(t) for t in texts]
     table = bpe.token_bytes(RANKS)
-    assert [bpe.decoded(x, table) for x in ids] == [t.encode() for t in texts]
-    assert own.encode(texts) == ids  # remembered pieces
+    assert [bpe.decoded(x, table) for x in ids.to_pylist()] == [t.encode() for t in texts]
+    assert bpe.id_bytes(*own.encode(pa.array(texts))) == ids  # remembered pieces
+    own.forget()
+    assert bpe.id_bytes(*own.encode(pa.array([None, *texts, None], pa.string()).slice(1, len(texts)))) == ids
+    assert len(bpe.id_bytes(*own.encode(pa.array([], pa.string())))) == 0
+
+
+def test_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, _ = token_files.library(P.path("byte_bpe_50k.json"))
+    ref = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert isinstance(own, token_files.Words)
+    r = random.Random(4)
+    some = ["a", "b", "The", " ", "  ", "\n", ".", ",", "é", "1", "23", "'s", "'", "<|endoftext|>", "\t", "\u00a0", "\x1c", "中", "#", "ñ", "\x85", "е", "W", "\u1e9e", "²", "😀"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 14))) for _ in range(8000)] + [None, "", " ", ".", " .", "x" * 3000, " " * 900 + "y", "!" * 50, "a " * 4000]
+    got = bpe.id_bytes(*own.encode(pa.array(texts)))
+    assert [np.frombuffer(x, "<u4").tolist() for x in got.to_pylist()] == [ref.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for few in ([], [None], [""], ["", None, " "]):
+        got = bpe.id_bytes(*own.encode(pa.array(few, pa.string())))
+        assert [len(x) // 4 for x in got.to_pylist()] == [len(ref.encode(t or "", add_special_tokens=False).ids) for t in few]
 
 
 def test_bpe_long_and_matrix_merges_agree():

@@ -86,6 +86,14 @@ class PairTable:
         return out
 
 
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of an array, given by their starts and sizes, end to end."""
+    end = np.cumsum(size)
+    take = np.repeat(start - (end - size), size)
+    take += np.arange(len(take))
+    return flat[take]
+
+
 class Encoder:
     """Encodes texts by ranks, as merging leftmost least-rank pairs does; remembers pieces across batches."""
 
@@ -180,7 +188,7 @@ class Encoder:
                 push(before[i])
         return np.array([x for x, ok in zip(ids, alive) if ok], "<u4").tobytes()
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         cut = [self.pattern.findall(p) for p in pieces]
         known = self.matches
         met = set().union(*cut)
@@ -188,53 +196,80 @@ class Encoder:
         if len(known) + len(new) > CACHED:
             known = self.matches = {m: known[m] for m in met if m in known}
         known.update(zip(new, self.encode_matches(new)))
-        return [b"".join([known[m] for m in c]) for c in cut]
+        raw = [b"".join([known[m] for m in c]) for c in cut]
+        return np.frombuffer(b"".join(raw), "<u4"), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         return self.cutter.encode(texts)
 
+    def forget(self) -> None:
+        """Drop what is remembered."""
+        self.matches = {}
+        self.cutter.forget()
+
 
 class Cutter:
-    """Encodes texts piece by piece with a function from pieces to id bytes, remembering pieces."""
+    """Encodes texts piece by piece, remembering pieces.
+
+    encode_pieces gives the ids of some pieces, end to end, and how many each piece has. A piece that follows a space
+    is known by its text without it; the head of a text, which follows nothing, by its text behind a space.
+    """
 
     def __init__(self, encode_pieces, cached: int = CACHED):
-        self.of, self.known, self.cached = encode_pieces, {}, cached
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Id bytes of every text."""
-        known = self.known
-        cut = [t.split(" ") for t in texts]
-        heads = self.of([c[0] for c in cut])
-        fit = [c[0] == c[0].rstrip() for c in cut]
-        for c in cut:
-            c[0] = c[-1]  # the head is done; what is left are pieces that follow a space
-        met = set().union(*cut)
-        new = [p for p in met if p not in known]
-        if len(known) + len(new) > self.cached:
-            known = self.known = {p: known[p] for p in met if p in known}
-        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
-        fine = list(set(new).difference(odd)) if odd else new
-        for i in range(0, len(fine), 50_000):
-            part = fine[i : i + 50_000]
-            known.update(zip(part, self.of([" " + p for p in part])))
-        known.update(dict.fromkeys(odd))  # None: no safe cut beside such a piece
-        out: list[bytes] = []
-        again = []
-        for k, (c, head, ok) in enumerate(zip(cut, heads, fit)):
-            c[0] = ""
-            try:
-                own = [known[p] for p in c[1:]]
-                out.append(head + b"".join(own) if ok else b"")
-            except TypeError:
-                ok = False
-                out.append(b"")
-            if not ok:
-                again.append(k)
-        whole = [SAFE_CUT.split(texts[k]) for k in again]
-        ids = iter(self.of([p if i == 0 else " " + p for w in whole for i, p in enumerate(w)])) if again else iter(())
-        for k, w in zip(again, whole):
-            out[k] = b"".join([next(ids) for _ in w])
-        return out
+        self.of, self.cached = encode_pieces, cached
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all remembered pieces."""
+        self.known: dict[str, int] = {}
+        self.flat, self.start, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, found: list[str], lead: str) -> np.ndarray:
+        """The place of each distinct piece in what is remembered, -1 if no safe cut stands beside it."""
+        get, mark = self.known.get, " " if not lead else ""
+        at = np.fromiter((get(mark + p, -1) for p in found), np.int64, len(found))
+        new = [k for k in np.flatnonzero(at < 0).tolist() if not lead or found[k] and not found[k][0].isspace() and not found[k][-1].isspace()]
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            flat, size = self.of([lead + found[k] for k in part])
+            at[part] = np.arange(len(self.size), len(self.size) + len(part))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        self.known.update(zip([mark + found[k] for k in new], at[new].tolist()))
+        return at
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's ids begin and the last ends); a null has none."""
+        if len(self.known) > self.cached or len(self.flat) > 8 * self.cached:
+            self.forget()
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        edge = edge - edge[0]
+        coded = lists.flatten().dictionary_encode()
+        word, found = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        first = edge[:-1]
+        inner = np.ones(len(word), bool)
+        inner[first] = False
+        used = np.zeros(len(found), bool)
+        used[word[inner]] = True
+        place = np.full(len(found), -1)
+        place[used] = self.places([p for p, u in zip(found, used.tolist()) if u], " ")
+        heads, of = np.unique(word[first], return_inverse=True)
+        lead = self.places([found[k] for k in heads.tolist()], "")[of]
+        at = place[word]
+        odd = np.logical_or.reduceat((at < 0) & inner, first) if len(first) else np.empty(0, bool)
+        odd |= np.array([found[k] != found[k].rstrip() for k in heads.tolist()], bool)[of]
+        at[first] = lead
+        size, start, flat = self.size[at], self.start[at], self.flat
+        again = np.flatnonzero(odd)
+        if len(again):  # the whole text takes the place of its head
+            whole = [SAFE_CUT.split(texts[k].as_py()) for k in again.tolist()]
+            ids, n = self.of([p if i == 0 else " " + p for w in whole for i, p in enumerate(w)])
+            n = np.add.reduceat(n, np.cumsum([0, *map(len, whole[:-1])]))
+            size[np.repeat(odd, np.diff(edge))] = 0
+            size[first[again]], start[first[again]] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, ids])
+        return ragged(flat, start, size), np.concatenate([[0], np.cumsum(size)[edge[1:] - 1]]) if len(first) else np.zeros(1, np.int64)
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -270,6 +305,11 @@ def some(texts: pa.Array, budget: int = 2_000_000):
         start = end
 
 
+def id_bytes(flat: np.ndarray, edge: np.ndarray) -> pa.Array:
+    """Ids end to end as a binary column of one value for each text."""
+    return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])
+
+
 def decoded(ids: bytes | None, table: list[bytes]) -> bytes | None:
     return None if ids is None else b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
@@ -292,11 +332,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for b in batches:
             texts = b.column(len(names))
             for i, j in some(texts):
-                ids = enc.encode([t or "" for t in texts.slice(i, j - i).to_pylist()])
-                made = [pa.array(ids, pa.binary())]
+                flat, edge = enc.encode(texts.slice(i, j - i))
+                made = [id_bytes(flat, edge)]
                 if back:
-                    made.append(pa.array([decoded(x, table) for x in ids], pa.binary()))
+                    made.append(pa.array([decoded(x, table) for x in made[0].to_pylist()], pa.binary()))
                 yield pa.RecordBatch.from_arrays([*b.slice(i, j - i).columns[: len(names)], *made], names=[*names, *more])
+        enc.forget()
 
     return only(docs, *names, text_col).mapInArrow(tidied(run), schema)
 

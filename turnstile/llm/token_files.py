@@ -14,26 +14,38 @@ each file of up to SHARD_TOKENS ids, so it is small enough for the driver.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.bpe import Cutter, some
+from turnstile.llm.bpe import SAFE_CUT, ragged, some
 from turnstile.llm.common import filesystem, fresh, only, parts_for, ship, stored, tidied
 
 #: Fixed values of the public seekable zstandard format, and of skippable frames.
 SEEKABLE_MAGIC, SEEK_FRAME, INDEX_FRAME = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 FRAME_BYTES, SHARD_TOKENS, LEVEL = 256 << 10, 64 << 20, 3
-#: Pieces that a worker remembers, and signs that end words.
-PIECES, SIGNS = 500_000, ".,;:!?"
+#: Bytes of text whose words are encoded at once, and signs that end words.
+SLICE, SIGNS = 12_000_000, ".,;:!?"
+#: A word of letters alone, of blocks that all versions of the character tables agree on, maybe behind a space; texts of such characters.
+LETTERS = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba\u0400-\u0481]+$"
+SURE = re.compile("[\t\n -~\u00a0-\u01ba\u0400-\u0481]+")
+#: The public byte-level pattern, and letters of its vocabularies: bytes that print stand for themselves, the others follow from U+0100 on.
+MATCHES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PRINTS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTES = np.arange(256, dtype="<u4")
+BYTES[np.setdiff1d(np.arange(256), PRINTS)] = 0x100 + np.arange(256 - len(PRINTS))
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, n_bytes long, first_id long"
 
 
@@ -143,12 +155,134 @@ class Whole:
     def __init__(self, own):
         self.own = own
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(self.own.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(self.own.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts.to_pylist()]
+        return np.concatenate([np.empty(0, "<u4"), *ids]), np.cumsum([0, *map(len, ids)])
 
 
-def library(path: str) -> tuple[Cutter | Whole, int]:
-    """The tokenizers library's encoder of a JSON file behind a piece cache, and its largest id.
+class Words:
+    """Encodes slices of texts by their distinct words, for files that cut by the byte-level pattern.
+
+    A text is cut at single spaces between other characters, which no match of the pattern crosses. Of the distinct pieces, a
+    word of letters alone is one match, and signs behind it are another; other pieces of sure characters are cut by the
+    pattern here. The matches go to the library's model in the letters that stand for their bytes. What holds characters
+    that tables of letters may differ on, or an added token, takes the library's whole way.
+    """
+
+    def __init__(self, own):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
+
+        self.own, self.bare = own, Tokenizer(own.model)
+        self.bare.pre_tokenizer = CharDelimiterSplit("\n")
+        vocabulary = own.get_vocab()
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        self.added = [t.content for t in own.get_added_tokens_decoder().values()]
+
+    @staticmethod
+    def fits(own) -> bool:
+        """Whether a file cuts by the byte-level pattern alone, and its added tokens stay within pieces and hold more than letters."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        state = json.loads(own.to_str())
+        bytewise = isinstance(own.pre_tokenizer, ByteLevel) and state["pre_tokenizer"].get("use_regex") and not state["pre_tokenizer"].get("add_prefix_space")
+        plain = lambda t: not (t.rstrip or t.lstrip or t.content.isalpha() or re.search(rf"[\s{SIGNS}]", t.content))
+        return bool(bytewise) and state["normalizer"] is None and all(map(plain, own.get_added_tokens_decoder().values()))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's ids begin and the last ends); a null has none."""
+        lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        edge = lists.offsets.to_numpy().astype(np.int64)
+        edge -= edge[0]
+        coded = lists.flatten().dictionary_encode()
+        word, found = coded.indices.to_numpy(), coded.dictionary
+        first = edge[:-1]
+        inner = np.ones(len(word), bool)
+        inner[first] = False
+        used = np.zeros(len(found), bool)
+        used[word[inner]] = True
+        heads, of = np.unique(word[first], return_inverse=True)
+        lead, inside = found.take(pa.array(heads)), found.filter(pa.array(used))
+        bad = ~pc.and_(pc.equal(pc.utf8_trim_whitespace(inside), inside), pc.greater(pc.binary_length(inside), 0)).to_numpy(zero_copy_only=False)
+        late = pc.not_equal(pc.utf8_rtrim_whitespace(lead), lead).to_numpy(zero_copy_only=False)
+        flat, size = self.pieces(pa.concat_arrays([pc.binary_join_element_wise("", inside, " "), lead]))
+        begin = np.cumsum(size) - size
+        place, odd = np.full(len(found), -1), np.zeros(len(found), bool)
+        place[used], odd[used] = np.arange(len(inside)), bad
+        again = np.flatnonzero(np.logical_or.reduceat(odd[word] & inner, first) | late[of]) if len(first) else first
+        at = place[word]
+        at[first] = len(inside) + of
+        count, start = size[at], begin[at]
+        if len(again):  # no safe cut stands beside some piece: the whole text takes the place of its head
+            whole = [SAFE_CUT.split(texts[k].as_py()) for k in again.tolist()]
+            ids, n = self.pieces(pa.array([p if i == 0 else " " + p for w in whole for i, p in enumerate(w)], pa.string()))
+            n = np.add.reduceat(n, np.cumsum([0, *map(len, whole[:-1])]))
+            count[np.repeat(np.isin(np.arange(len(first)), again), np.diff(edge))] = 0
+            count[first[again]], start[first[again]] = n, len(flat) + np.cumsum(n) - n
+            flat = np.concatenate([flat, ids])
+        end = np.cumsum(count)
+        return ragged(flat, start, count), np.concatenate([[0], end[edge[1:] - 1]]) if len(first) else np.zeros(1, np.int64)
+
+    def pieces(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some pieces end to end, how many each has)."""
+        core = pc.utf8_rtrim(col, SIGNS)
+        plain = pc.match_substring_regex(core, LETTERS)
+        own = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        core, signed = core.filter(plain).dictionary_encode(), col.filter(plain)
+        longer = np.flatnonzero(pc.not_equal(pc.binary_length(core.cast(pa.string())), pc.binary_length(signed)).to_numpy(zero_copy_only=False))
+        tail = pc.replace_substring_regex(signed.take(pa.array(longer)), rf"^[^{SIGNS}]+", "").dictionary_encode()
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
+        other = col.take(pa.array(rest)).to_pylist()
+        sure = [SURE.fullmatch(p) is not None and not any(t in p for t in self.added) for p in other]
+        cut = [MATCHES.findall(p) if ok else [] for p, ok in zip(other, sure)]
+        number = np.fromiter(map(len, cut), np.int64, len(cut))
+        some_matches = pa.array(list(chain.from_iterable(cut)), pa.string()).dictionary_encode()
+        flat, size = self.matched(pa.concat_arrays([core.dictionary, tail.dictionary, some_matches.dictionary]))
+        entries = np.ones(len(col), np.int64)
+        entries[own[longer]] = 2
+        entries[rest] = number
+        base = np.cumsum(entries) - entries
+        entry = np.empty(int(entries.sum()), np.int64)
+        entry[base[own]] = core.indices.to_numpy()
+        entry[base[own[longer]] + 1] = tail.indices.to_numpy() + len(core.dictionary)
+        entry[np.repeat(base[rest] - (np.cumsum(number) - number), number) + np.arange(int(number.sum()))] = some_matches.indices.to_numpy() + len(core.dictionary) + len(tail.dictionary)
+        begin = np.cumsum(size) - size
+        out = np.zeros(len(col), np.int64)
+        np.add.at(out, np.repeat(np.arange(len(col)), entries), size[entry])
+        flat = ragged(flat, begin[entry], size[entry])
+        unsure = rest[~np.array(sure, bool)] if len(rest) else rest
+        if len(unsure):
+            ids, n = self.encoded(col.take(pa.array(unsure)).to_pylist())
+            start = np.cumsum(out) - out
+            out[unsure], start[unsure] = n, len(flat) + np.cumsum(n) - n
+            flat = ragged(np.concatenate([flat, ids]), start, out)
+        return flat, out
+
+    def matched(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of some matches of the pattern end to end, how many each has), by the model alone."""
+        if not len(col):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        edge = np.frombuffer(col.buffers()[1], np.int32, len(col) + 1, col.offset * 4).astype(np.int64)
+        raw, long = np.frombuffer(col.buffers()[2] or b"", np.uint8), np.diff(edge)
+        out = []
+        for i in range(0, len(col), 20_000):
+            size = long[i : i + 20_000]
+            letters = np.full(int(size.sum()) + len(size), ord("\n"), "<u4")
+            letters[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = BYTES[raw[edge[i] : edge[min(i + 20_000, len(col))]]]
+            out.append(np.array(self.bare.encode_batch_fast([letters.tobytes().decode("utf-32-le")], add_special_tokens=False)[0].ids, "<u4"))
+        flat = np.concatenate([np.empty(0, "<u4"), *out])
+        end = np.searchsorted(np.cumsum(self.width[flat]), np.cumsum(long)) + 1
+        return flat, np.diff(end, prepend=0)
+
+    def encoded(self, items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = self.own.encode(items, is_pretokenized=True, add_special_tokens=False)
+        of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
+        return np.array(found.ids, "<u4"), np.diff(np.searchsorted(of, np.arange(len(items) + 1)))
+
+
+def library(path: str) -> tuple[Words | Whole, int]:
+    """The tokenizers library's encoder of a JSON file, and its largest id.
 
     Added tokens of the file that a text spells out are met, as the library meets them by default.
     """
@@ -159,36 +293,7 @@ def library(path: str) -> tuple[Cutter | Whole, int]:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
-        top = max(own.get_vocab().values())
-        if any(t.rstrip or re.search(rf"[\s{SIGNS}]", t.content) for t in own.get_added_tokens_decoder().values()):
-            # such a token can reach over the places where texts are cut
-            _TOKENIZERS[path] = Whole(own), top
-            return _TOKENIZERS[path]
-
-        marks: dict[str, bytes] = {}
-
-        def pieces(items: list[str]) -> list[bytes]:
-            """Ids of pieces; signs after a letter always are a token run of their own, so words are met without them."""
-            cores, tails = [], []
-            for p in items:
-                core = p.rstrip(SIGNS)
-                cores.append(core if core != p and core[-1:].isalpha() else p)
-                tails.append(p[len(cores[-1]) :])
-            for t in set(tails) - marks.keys():
-                marks[t] = encoded([t])[0] if t else b""
-            met = list(set(cores))
-            known = dict(zip(met, encoded(met)))
-            return [known[c] + marks[t] for c, t in zip(cores, tails)]
-
-        def encoded(items: list[str]) -> list[bytes]:
-            found = own.encode(items, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            of = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
-            cut = np.searchsorted(of, np.arange(len(items) + 1)) * 4
-            raw = ids.tobytes()
-            return [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-
-        _TOKENIZERS[path] = Cutter(pieces, PIECES), top
+        _TOKENIZERS[path] = Words(own) if Words.fits(own) else Whole(own), max(own.get_vocab().values())
     return _TOKENIZERS[path]
 
 
@@ -220,9 +325,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             rows.append((part, seq, name, len(own.ids), own.n_tokens, size, own.ids[0]))
 
         for b in batches:
-            for i, j in some(b.column(1), 4_000_000):
+            for i, j in some(b.column(1), SLICE):
                 rows_now = b.slice(i, j - i)
-                for k, raw in zip(rows_now.column(0).to_pylist(), enc.encode([t or "" for t in rows_now.column(1).to_pylist()])):
+                flat, edge = enc.encode(rows_now.column(1))
+                for k, low, high in zip(rows_now.column(0).to_pylist(), edge[:-1].tolist(), edge[1:].tolist()):
                     if own is not None and own.n_tokens >= SHARD_TOKENS:
                         close()
                         own, seq = None, seq + 1
@@ -230,7 +336,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
                         fs.create_dir(base, recursive=True)
                         name = f"tokens-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.zst"
                         own = Writer(fs.open_output_stream(f"{base}/{name}", compression=None), width)
-                    own.add(k, np.concatenate([np.frombuffer(raw, "<u4"), end]))
+                    own.add(k, np.concatenate([flat[low:high], end]))
         if own is not None:
             close()
         if rows:
