@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship, tidied
+from turnstile.llm.common import only, ship, some, tidied
 
 NO_RANK = np.int32(2**31 - 1)
 #: Pieces that a Python worker remembers; beyond it only those of the latest texts stay.
@@ -294,17 +294,6 @@ def token_bytes(path: str) -> list[bytes]:
     return _BYTES[path]
 
 
-def some(texts: pa.Array, budget: int = 2_000_000):
-    """Slices (start, end) of a text column of about so many bytes, so that what a slice makes stays small."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < len(size):
-        base = size[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(size, base + budget, "right")))
-        yield start, end
-        start = end
-
-
 def id_bytes(flat: np.ndarray, edge: np.ndarray) -> pa.Array:
     """Ids end to end as a binary column of one value for each text."""
     return pa.Array.from_buffers(pa.binary(), len(edge) - 1, [None, pa.py_buffer((edge * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(flat, "<u4"))])

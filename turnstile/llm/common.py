@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,7 +84,7 @@ def dealt(df: DataFrame, key: str, batches: int) -> DataFrame:
     def run(incoming):
         for rows in incoming:
             b = rows.column(0).to_numpy()
-            order = np.argsort(b, kind="stable")
+            order = np.argsort(b.astype(few(batches)), kind="stable")
             own = rows.select(names).take(pa.array(order))
             cut = np.flatnonzero(np.diff(b[order], prepend=-1))
             data = []
@@ -112,6 +113,34 @@ def text_bytes(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def some(texts: pa.Array, budget: int = 2_000_000):
+    """Slices (start, end) of a text column of about so many bytes, so that what a slice makes stays small."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(size):
+        base = size[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(size, base + budget, "right")))
+        yield start, end
+        start = end
+
+
+def sliced(batches, column: int):
+    """Arrow batches cut into smaller ones by the bytes of a text column, so that what a task holds stays small."""
+    for b in batches:
+        for i, j in some(b.column(column)):
+            yield b.slice(i, j - i)
+
+
+def raw_texts(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """UTF-8 bytes of a text column; a null is empty."""
+    return [t or b"" for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def few(n: int) -> type:
+    """The type for n small numbers that sorts fastest."""
+    return np.uint16 if n <= 1 << 16 else np.int64
+
+
 def words(text: str | None) -> list[bytes]:
     """Runs of bytes other than 0x20 and 0x09-0x0D; Python's bytes.split() cuts at just these."""
     return text_bytes(text).split()
@@ -212,10 +241,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same whole numbers in the least unsigned type that holds them; others as they are."""
+    if a.dtype.kind not in "iu" or not len(a) or a.dtype.kind == "i" and a.min() < 0:
+        return a
+    return a.astype(np.min_scalar_type(a.max()))
+
+
 def squeeze(*arrays: np.ndarray) -> bytes:
     """A few one-dimensional arrays as one binary value: bytes of equal weight side by side, then zstandard."""
-    head = [(a.dtype.str, len(a)) for a in arrays]
-    body = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays if len(a))
+    kept = [narrow(a) for a in arrays]
+    head = [(a.dtype.str, k.dtype.str, len(a)) for a, k in zip(arrays, kept)]
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(k).view(np.uint8).reshape(len(k), -1).T) for k in kept if len(k))
     name = repr(head).encode()
     return len(name).to_bytes(4, "little") + name + zstandard.ZstdCompressor(level=1).compress(body)
 
@@ -225,9 +262,11 @@ def unsqueeze(data: bytes) -> list[np.ndarray]:
     n = int.from_bytes(data[:4], "little")
     head, body = ast.literal_eval(data[4 : 4 + n].decode()), zstandard.ZstdDecompressor().decompress(data[4 + n :])
     out, at = [], 0
-    for kind, rows in head:
-        width = np.dtype(kind).itemsize
-        raw = np.frombuffer(body, np.uint8, rows * width, at)
-        out.append(np.ascontiguousarray(raw.reshape(width, rows).T).view(kind).ravel())
+    for kind, stored_as, rows in head:
+        width = np.dtype(stored_as).itemsize
+        raw = np.empty((rows, width), np.uint8)
+        for k in range(width):
+            raw[:, k] = np.frombuffer(body, np.uint8, rows, at + k * rows)
+        out.append(raw.view(stored_as).ravel().astype(kind, copy=False))
         at += rows * width
     return out

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship, squeeze, text_bytes, tidied, unsqueeze
+from turnstile.llm.common import only, ship, sliced, squeeze, text_bytes, tidied, unsqueeze
 from turnstile.llm.rules import labelled_sample
 
 BUCKETS, SAMPLE_ROWS, EPOCHS, CACHED = 1 << 16, 10_000, 12, 100_000
@@ -145,7 +145,7 @@ def scored(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: st
     def run(batches):
         gc.disable()
         own = Features()
-        for b in batches:
+        for b in sliced(batches, 1):
             score = np.array([float(v @ model.weights[p]) for p, v in map(own.of, b.column(1).to_pylist())])
             tails = model.tails(score)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.expected(tails)), pa.array(list(tails), pa.list_(pa.float64()))], names=schema.names)
@@ -173,7 +173,7 @@ def accepted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_
     def run(batches):
         gc.disable()
         own = Features()
-        for b in batches:
+        for b in sliced(batches, place):
             score = np.array([float(v @ model.weights[p]) for p, v in map(own.of, b.column(place).to_pylist())])
             tails = model.tails(score)
             yield b.filter(pa.array(tails[:, 0] >= least if tails.shape[1] else np.ones(len(score), bool)))

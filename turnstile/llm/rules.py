@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import only, ship, text_bytes, tidied
+from turnstile.llm.common import only, ship, sliced, text_bytes, tidied
 
 #: The symbols that are counted, and the white space between words.
 SYMBOLS, BLANKS = "#*$%&|<>", " \t\n\x0b\x0c\r"
@@ -69,7 +69,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in COUNTS]])
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, 1):
             rows = np.array([statistics_of(t) for t in b.column(1).to_pylist()], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in rows.T]], names=schema.names)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import components, local_components, lower_words, only, ship, stored, tidied
+from turnstile.llm.common import components, local_components, only, raw_texts, ship, sliced, stored, tidied
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Members of a cell (or of each of two blocks) that one task holds.
@@ -58,8 +58,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = ["text_hash"] if hashed else []
 
     def run(batches):
-        for b in batches:
-            fps = np.array([fingerprint(lower_words(t)) for t in b.column(1).to_pylist()], np.uint64)
+        for b in sliced(batches, 1):
+            fps = np.array([fingerprint(t.lower().split()) for t in raw_texts(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=[id_col, "fp", *more])
 
     own = only(docs, id_col, text_col).select("*", *[F.xxhash64(F.col(f"`{text_col}`")).alias(m) for m in more])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import batches_for, dealt, only, ship, squeeze, text_bytes, tidied, undealt, unsqueeze
+from turnstile.llm.common import batches_for, dealt, few, only, raw_texts, ship, squeeze, tidied, undealt, unsqueeze
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
@@ -92,19 +92,21 @@ class Sample:
     """The picked grams of a batch of documents: for each run of windows with one pick, its document and place."""
 
     def __init__(self, texts: list[bytes]):
-        parts = []
+        parts, self.texts = [], texts
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         for i, j, a, b in pieces(size):
-            raw = texts[i][a:b] if b else b"".join(texts[i:j])
+            raw = self.raw(i, j, a, b)
             if len(raw) >= LENGTH:
                 ends = np.array([len(raw)]) if b else np.cumsum(size[i:j])
-                parts.append(self.picked(raw, ends, i, a))
-        names = ("doc", "low", "high", "name", "context", "hashes")
-        empty = {"doc": np.int64, "low": np.int64, "high": np.int64, "name": np.uint64, "context": np.uint64}
-        for k in names[:-1]:
-            setattr(self, k, np.concatenate([p[k] for p in parts]) if parts else np.empty(0, empty[k]))
+                parts.append(self.picked(raw, ends, i, a) | {"at": (i, j, a, b)})
+        empty = {"doc": np.int32, "low": np.int32, "high": np.int32, "name": np.uint64, "context": np.uint64}
+        for k, kind in empty.items():
+            setattr(self, k, np.concatenate([np.empty(0, kind), *[p.pop(k) for p in parts]]))
         self.parts = parts
 
+    def raw(self, i: int, j: int, a: int, b: int) -> bytes:
+        return self.texts[i][a:b] if b else b"".join(self.texts[i:j])
+
     @staticmethod
     def picked(raw: bytes, ends: np.ndarray, first: int, base: int) -> dict:
         h = gram_hashes(raw)
@@ -128,33 +130,54 @@ class Sample:
         context = mixed(context * M3 ^ h[np.minimum(a + GRAM, last)])
         context = mixed(context * M2 ^ h[last] ^ ((a - low) * 64 + (high - a + 32)).astype(np.uint64))
         begin = np.concatenate([[0], ends[:-1]])[doc] - base
-        return {"doc": doc + first, "low": low - begin, "high": high - begin, "name": h[a] >> np.uint64(16), "context": context >> np.uint64(16), "hashes": h, "shift": begin, "runs": len(at)}
+        small = lambda x: x.astype(np.int32)
+        return {"doc": small(doc + first), "low": small(low - begin), "high": small(high - begin), "name": h[a] >> np.uint64(16), "context": context >> np.uint64(16), "shift": begin, "runs": len(at)}
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the chosen runs: (run, start in the document, hash) of each window."""
-        out, at = [], 0
+        out, at = [(np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint64))], 0
         for p in self.parts:
             own = np.flatnonzero(chosen[at : at + p["runs"]])
-            count = (p["high"] - p["low"] + 1)[own]
-            run = np.repeat(own, count)
-            start = p["low"][run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
-            out.append((run + at, start, window_hashes(p["hashes"], start + p["shift"][run])))
+            if len(own):
+                low = self.low[at : at + p["runs"]]
+                count = (self.high[at : at + p["runs"]] - low + 1)[own]
+                run = np.repeat(own, count)
+                start = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count)
+                # the hashes of a part are taken anew: kept, they would hold eight bytes for every byte of text
+                out.append(((run + at).astype(np.int32), start.astype(np.int32), window_hashes(gram_hashes(self.raw(*p["at"])), start + p["shift"][run])))
             at += p["runs"]
-        if not out:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
         return tuple(np.concatenate(x) for x in zip(*out))  # type: ignore[return-value]
 
 
+def ordered(first: np.ndarray, second: np.ndarray | None = None) -> np.ndarray:
+    """An order by first (under 48 bits, if there is a second), then second: by one key of 64 bits, then ties that it leaves."""
+    if second is None:
+        return np.argsort(first)
+    low = np.uint64(0xFFFF)
+    key = first << np.uint64(16) | (second & low)
+    order = np.argsort(key)
+    k, s = key[order], second[order]
+    tied = np.zeros(len(k) + 1, bool)
+    tied[1:-1] = k[1:] == k[:-1]
+    mixed_up = np.zeros(len(k) + 1, bool)
+    mixed_up[1:-1] = tied[1:-1] & (s[1:] != s[:-1])
+    if mixed_up.any():  # whole runs of equal keys are sorted anew in their places
+        run = np.cumsum(~tied[:-1])
+        bad = np.flatnonzero(np.isin(run, run[np.flatnonzero(mixed_up[:-1])]))
+        order[bad] = order[bad][np.lexsort((s[bad], k[bad]))]
+    return order
+
+
 def entries(keys: tuple[np.ndarray, ...], doc: np.ndarray):
     """Distinct keys in order: (place of each row among them, the keys, least and greatest document)."""
-    order = np.lexsort(keys[::-1])
+    order = ordered(*keys)
     new = np.zeros(len(order), bool)
     if len(order):
         new[0] = True
     for k in keys:
         new[1:] |= k[order][1:] != k[order][:-1]
     at = np.flatnonzero(new)
-    place = np.empty(len(order), np.int64)
+    place = np.empty(len(order), np.int32 if len(order) < 1 << 31 else np.int64)
     place[order] = np.cumsum(new) - 1
     own = doc[order]
     return place, [k[order][at] for k in keys], np.minimum.reduceat(own, at) if len(at) else own, np.maximum.reduceat(own, at) if len(at) else own
@@ -178,7 +201,7 @@ class Batch:
     """Documents of one batch in a fixed order, and what the two rounds make of them."""
 
     def __init__(self, table: pa.Table, every: bool = False):
-        ids, raw = table.column("id").to_pylist(), [text_bytes(t) for t in table.column("text").to_pylist()]
+        ids, raw = table.column("id").to_pylist(), raw_texts(table.column("text"))
         order = sorted(range(len(raw)), key=lambda i: (NO_ID if ids[i] is None else ids[i], raw[i]))
         self.rows, self.texts = order, [raw[i] for i in order]
         self.ids = np.array([NO_ID if ids[i] is None else ids[i] for i in order], np.int64)
@@ -197,7 +220,7 @@ class Batch:
 
     def answers(self, rows: pa.Table, round_: int, n: int, name: np.ndarray, parts: int) -> np.ndarray:
         """What came back for n entries that were sent in order of (part, entry)."""
-        part = (name % np.uint64(parts)).astype(np.int64)
+        part = (name % np.uint64(parts)).astype(few(parts))
         order = np.argsort(part, kind="stable")
         got = {p: unsqueeze(d)[0] for r, p, d in zip(*(rows.column(c).to_pylist() for c in ("round", "p", "data"))) if r == round_}
         out = np.empty(n, np.int64)
@@ -247,8 +270,8 @@ class Batch:
 
 def sent(batch: int, name: np.ndarray, second: np.ndarray, least: np.ndarray, most: np.ndarray, parts: int) -> pa.Table:
     """Entries by part of the name, packed."""
+    order = np.argsort((name % np.uint64(parts)).astype(few(parts)), kind="stable")
     part = (name % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
     cut = np.flatnonzero(np.diff(part[order], prepend=-1))
     rows = [(int(part[order[i]]), order[i:j]) for i, j in zip(cut, np.append(cut[1:], len(order)))]
     data = [squeeze(np.diff(name[o], prepend=np.uint64(0)), second[o] & np.uint64(0xFFFFFFFF), second[o] >> np.uint64(32), least[o], most[o] - least[o]) for _, o in rows]
@@ -305,7 +328,7 @@ def settle_windows(rows: pa.Table, every: bool = False) -> pa.Table:
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 2)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 5, scope_col: str | None = None, every: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 5, scope_col: str | None = None, every: bool = False, as_text: bool = False) -> DataFrame:
     """(id, text_hash, n_bytes, spans array<struct<start, end>>, kept binary), one row for each row of docs.
 
     text_hash is xxhash64 of the text (of the empty text for a null); spans are the maximal runs of bytes covered by a LENGTH-byte string that also starts in a document of
@@ -313,6 +336,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one id do not take from each other. A row without an id counts as the smallest. With scope_col strings
     meet only within equal scopes; with every a string that HELD documents of its scope and one in SHARE of them
     have goes from all of them (of a scope of two documents, what both have). Rows of one id count as one document.
+    With as_text kept is a string, without bytes left over from characters that were cut in two.
     """
     ship(docs.sparkSession)
     parts = batches = batches_for(docs, batch_mb)
@@ -331,21 +355,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         x.first_answers(rows, parts)
         return sent(key[0].as_py(), x.window_name, x.window_key, x.window_least, x.window_most, parts)
 
-    out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("text_hash long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary").fields])
+    out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("text_hash long, n_bytes long, spans array<struct<start: long, end: long>>").fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     @tidied
     def last(key, table, rows):
         table = undealt(table)
         x = Batch(table, every)
+        ids = table.column("id").take(pa.array(x.rows, pa.int64()))
+        del table
         spans = x.removed(rows, parts)
         kept = []
         for raw, cut in zip(x.texts, spans):
             edge = [0, *[e for s in cut for e in s], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
-        ids = table.column("id").take(pa.array(x.rows, pa.int64()))
+        if as_text:
+            kept = [k.decode("utf-8", "ignore") for k in kept]
         hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in x.texts], np.uint64).view(np.int64)
-        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.binary())})
+        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.string() if as_text else pa.binary())})
 
     # every batch of documents gets its answers, so both sides of a cogroup always have rows
     by_batch = dealt(own, "id", batches).groupBy("b")
@@ -359,15 +386,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte left over from a character that was cut in two is dropped. Rows stay, even with empty texts.
     """
-    ship(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def texts(it):
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.decode("utf-8", "ignore") for x in b.column(2).to_pylist()])], names=["_id", "_hash", "_text"])
-
-    found = repeated_spans(docs, id_col, text_col)
-    cut = found.where(F.size("spans") > 0).select(id_col, "text_hash", "kept").mapInArrow(texts, f"_id {kind}, _hash long, _text string")
+    found = repeated_spans(docs, id_col, text_col, as_text=True)
+    cut = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_text"))
     cut = cut.groupBy("_id", "_hash").agg(F.first("_text").alias("_text"))
     same = docs[id_col].eqNullSafe(cut["_id"]) & (F.xxhash64(docs[text_col]) == cut["_hash"])
     rows = docs.join(cut, same, "left")
