@@ -26,7 +26,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that are not contaminated: less than a twentieth of their words is in benchmark windows."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
