@@ -9,6 +9,7 @@ import gc
 import inspect
 import io
 import os
+import re
 import sys
 import uuid
 
@@ -28,8 +29,10 @@ UNKNOWN = 1 << 57
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a fallback for tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on one machine alone, a fallback for tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not re.match(r"local($|\[)", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (at or f"file://{FALLBACK_DIR}").rstrip("/")
 
 
@@ -208,23 +211,25 @@ def components(edges: DataFrame, name: str = "edges", rounds: int = 60) -> DataF
 
     Alternates large-star and small-star steps, each a partial-aggregated minimum and an equi-join, until
     no edge changes. Every step is written to the shared folder, so lineage stays short and a lost
-    executor costs one step. No node's neighbours are ever gathered in one place.
+    executor costs one step. The minima are tables of their own, so that both sides of a join are plain shuffles,
+    whose partitions Spark splits where a node has many neighbours.
     """
     spark = edges.sparkSession
     now, at = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least, at_least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), name)
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large, at_large = stored(large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).distinct(), name)
+        low, at_low = stored(large.groupBy("a").agg(F.min("b").alias("m")), name)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         after, to = stored(small, name)
         sign = after.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("a", "b")), F.lit(0))).first()
-        drop_path(spark, at)
+        for done in (at, at_least, at_large, at_low):
+            drop_path(spark, done)
         now, at = after, to
         if sign == before:
             break

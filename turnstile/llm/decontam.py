@@ -45,7 +45,7 @@ class PositionalIndex:
         own, _ = stored(own.where(F.size("item_words") > 0).distinct().withColumn("key", F.xxhash64("item", "item_words")), "test-items")
         self.items = own
         terms = own.select(F.explode("item_words").alias("term")).distinct()
-        self.terms, _ = stored(terms.withColumn("term_id", F.row_number().over(W.orderBy("term"))), "test-terms")
+        self.terms, _ = stored(terms.withColumn("term_id", F.monotonically_increasing_id()), "test-terms")
         postings = self.docs.select("doc", F.posexplode(word_array(F.col("text"))).alias("pos", "term")).join(bounded(self.terms), "term").select("term_id", "doc", "pos")
         self.postings, self.path = stored(postings.sortWithinPartitions("term_id"), "postings")
 
@@ -107,8 +107,10 @@ def decontamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     Repeated rows give repeated results; repeated items count once. Empty tables give no hits or no rows.
     """
     found = PositionalIndex(docs, items, id_col, text_col, item_col, item_text, window).matches()
-    covered = F.flatten(F.transform("matches", lambda m: F.flatten(F.transform(m.starts, lambda s: F.sequence(m.delta + s, m.delta + s + m.length - 1)))))
-    hit = F.when(F.size("matches") == 0, 0).otherwise(F.size(F.array_distinct(covered))).cast("long")
+    spans = F.array_sort(F.flatten(F.transform("matches", lambda m: F.transform(m.starts, lambda s: F.struct((m.delta + s).cast("long").alias("a"), (m.delta + s + m.length).cast("long").alias("b"))))))
+    none = F.struct(F.lit(0).cast("long").alias("hit"), F.lit(0).cast("long").alias("upto"))  # words hit so far, and up to where
+    merged = F.aggregate(spans, none, lambda acc, x: F.struct((acc.hit + F.greatest(F.lit(0).cast("long"), x.b - F.greatest(x.a, acc.upto))).alias("hit"), F.greatest(acc.upto, x.b).alias("upto")))
+    hit = F.when(F.size("matches") == 0, F.lit(0).cast("long")).otherwise(merged["hit"])
     rows = found.select(F.col("doc").alias(id_col), "n_words", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item"]))).alias("items"))
     return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

@@ -78,8 +78,11 @@ def masks(groups: int, radius: int = RADIUS) -> list[int]:
 
 
 def groups_for(n: int) -> int:
-    """How finely to cut: the more fingerprints, the more bits a cell fixes. Every choice is exact."""
-    return 6 if n < 4_000_000 else 7 if n < 100_000_000 else 8
+    """How finely to cut: the more fingerprints, the more bits a cell fixes, so that cells stay small. Every choice is exact."""
+    groups = RADIUS + 2
+    while 64 * (groups - RADIUS) / groups < np.log2(max(n, 1)) and groups < 32:
+        groups += 1
+    return groups
 
 
 def embedded(fp):
@@ -176,6 +179,7 @@ def links(fps: DataFrame, radius: int = RADIUS, groups: int | None = None, block
     count = embedded(F.col("fp"))
     cells = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("part"), count.bitwiseAND(F.lit(signed(m))).alias("cell")) for i, m in enumerate(masks(groups, radius))])).alias("c")).select("c.part", "c.cell", "fp")
     hot = cells.groupBy("part", "cell").count().where(F.col("count") > block).select("part", "cell", F.ceil(F.col("count") / block).cast("int").alias("k"))
+    hot, _ = stored(hot, "simhash-hot")  # apart, so that Spark can broadcast it or split the rows of a hot cell
     dealt = cells.join(hot, ["part", "cell"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
@@ -200,8 +204,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     rows, _ = stored(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = rooted(rows, F.min(id_col), radius)
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    # tables of their own, so that Spark can split the partition of a large component
+    nodes, _ = stored(rooted(rows, F.min(id_col), radius), "simhash-nodes")
+    least, _ = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = nodes.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
