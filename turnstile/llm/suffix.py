@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from turnstile.llm.common import batches_for, dealt, few, only, raw_texts, ship, squeeze, tidied, undealt, unsqueeze
+from turnstile.llm.common import batches_for, dealt, few, raw_texts, ship, squeeze, tidied, undealt, unsqueeze
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1  # gram starts in a window
@@ -328,7 +328,7 @@ def settle_windows(rows: pa.Table, every: bool = False) -> pa.Table:
     return returned(blocks, sizes, rows.column("p")[0].as_py(), value, 2)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 5, scope_col: str | None = None, every: bool = False, as_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch_mb: int = 5, scope_col: str | None = None, every: bool = False, as_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, text_hash, n_bytes, spans array<struct<start, end>>, kept binary), one row for each row of docs.
 
     text_hash is xxhash64 of the text (of the empty text for a null); spans are the maximal runs of bytes covered by a LENGTH-byte string that also starts in a document of
@@ -336,12 +336,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one id do not take from each other. A row without an id counts as the smallest. With scope_col strings
     meet only within equal scopes; with every a string that HELD documents of its scope and one in SHARE of them
     have goes from all of them (of a scope of two documents, what both have). Rows of one id count as one document.
-    With as_text kept is a string, without bytes left over from characters that were cut in two.
+    With as_text kept is a string, without bytes left over from characters that were cut in two, and null for a null.
+    Columns named in keep follow, as _0, _1 and so on.
     """
     ship(docs.sparkSession)
     parts = batches = batches_for(docs, batch_mb)
     kind = docs.schema[id_col].dataType
-    own = only(docs, id_col, text_col, *([scope_col] if scope_col else [])).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([(F.xxhash64(F.col(scope_col)) if scope_col else F.lit(0).cast("long")).alias("scope")] if scope_col or every else []))
+    own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{k}`").alias(f"_{i}") for i, k in enumerate(keep)], *([(F.xxhash64(F.col(f"`{scope_col}`")) if scope_col else F.lit(0).cast("long")).alias("scope")] if scope_col or every else []))
     to_part, back = "p int, b int, data binary", "b int, round int, p int, data binary"
 
     @tidied
@@ -355,14 +356,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         x.first_answers(rows, parts)
         return sent(key[0].as_py(), x.window_name, x.window_key, x.window_least, x.window_most, parts)
 
-    out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("text_hash long, n_bytes long, spans array<struct<start: long, end: long>>").fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType())])
+    out = T.StructType([T.StructField(id_col, kind), *T._parse_datatype_string("text_hash long, n_bytes long, spans array<struct<start: long, end: long>>").fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *[T.StructField(f"_{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     @tidied
     def last(key, table, rows):
         table = undealt(table)
         x = Batch(table, every)
-        ids = table.column("id").take(pa.array(x.rows, pa.int64()))
+        order = pa.array(x.rows, pa.int64())
+        ids, none, more = table.column("id").take(order), table.column("text").is_null().take(order).to_pylist(), {f"_{i}": table.column(f"_{i}").take(order) for i in range(len(keep))}
         del table
         spans = x.removed(rows, parts)
         kept = []
@@ -370,9 +372,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edge = [0, *[e for s in cut for e in s], len(raw)]
             kept.append(b"".join(raw[a:b] for a, b in zip(edge[::2], edge[1::2])))
         if as_text:
-            kept = [k.decode("utf-8", "ignore") for k in kept]
+            kept = [None if z else k.decode("utf-8", "ignore") for k, z in zip(kept, none)]
         hashed = np.array([xxhash.xxh64_intdigest(t, 42) for t in x.texts], np.uint64).view(np.int64)
-        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.string() if as_text else pa.binary())})
+        return pa.table({id_col: ids, "text_hash": hashed, "n_bytes": pa.array([len(t) for t in x.texts], pa.int64()), "spans": pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), "kept": pa.array(kept, pa.string() if as_text else pa.binary()), **more})
 
     # every batch of documents gets its answers, so both sides of a cogroup always have rows
     by_batch = dealt(own, "id", batches).groupBy("b")
@@ -386,9 +388,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A byte left over from a character that was cut in two is dropped. Rows stay, even with empty texts.
     """
-    found = repeated_spans(docs, id_col, text_col, as_text=True)
-    cut = found.where(F.size("spans") > 0).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_text"))
-    cut = cut.groupBy("_id", "_hash").agg(F.first("_text").alias("_text"))
-    same = docs[id_col].eqNullSafe(cut["_id"]) & (F.xxhash64(docs[text_col]) == cut["_hash"])
-    rows = docs.join(cut, same, "left")
-    return rows.select(*[F.coalesce(cut["_text"], docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    keep = tuple(c for c in docs.columns if c not in (id_col, text_col))
+    found = repeated_spans(docs, id_col, text_col, as_text=True, keep=keep)
+    from_ = {id_col: id_col, text_col: "kept"} | {k: f"_{i}" for i, k in enumerate(keep)}
+    return found.select(*[F.col(f"`{from_[c]}`").alias(c) for c in docs.columns])
