@@ -8,7 +8,7 @@ from turnstile.cli import Loop, main
 from turnstile.operators.base import Base
 from turnstile.operators.commitments import CommitmentStore
 from turnstile.plans.ask import ask, ask_texts, exit_code
-from turnstile.plans.explain import explain, proof_tree, trace_function
+from turnstile.plans.explain import explain, proof_tree, trace_lines
 from turnstile.sources import files
 
 SEQUENT = "qid string, antecedent array<string>, consequent array<string>"
@@ -151,9 +151,21 @@ def test_explanations(spark):
     assert rows["1"].trace == ["[L∨] on p | q", "  AXIOM: p => q", "  AXIOM: q => q", "  FAIL: p, q => q"][:3] + ["  AXIOM: p, q => q"] and rows["2"].error
     leaves = proof_tree(queries.where("qid = 1")).where("rule = 'leaf'").collect()
     assert sorted((tuple(r.g), tuple(r.d)) for r in leaves) == [(("p",), ("q",)), (("p", "q"), ("q",)), (("q",), ("q",))]
-    spark.udtf.register("prove", trace_function(base))
-    queries.createOrReplaceTempView("asked")
-    assert spark.sql("SELECT * FROM asked, LATERAL prove(antecedent, consequent) WHERE qid = '1'").count() == 4
+    assert trace_lines(queries, base).groupBy("qid").count().orderBy("qid").collect() == [("1", 4), ("2", 1)]
+
+
+def test_one_answer_by_all_paths(spark):
+    """Answers and explanations agree: parentheses, white space, providers, deep sentences, many disjuncts."""
+    base = Base(spark, "AB", [("A", "B"), (["((C))"], ["D"])])
+    base.register_axioms(lambda rows: rows.where("array_contains(g, 'magic')"))
+    deep = "~" * 3000
+    wide = " | ".join(f"x{i}" for i in range(14))
+    rows = [(["(A)"], ["B"], True), ([" A "], ["(B)"], True), (["C"], ["D"], True), (["((C))"], ["(D)"], True), (["magic"], ["B"], True), (["A | magic"], ["B"], True), (["x | magic"], ["B"], False), (["magic & A"], [], True), ([wide], ["A"], False), (["A &"], [], None), ([f"{deep}A"], ["B"], True)]
+    queries = spark.createDataFrame([(f"{i}", g, d) for i, (g, d, _) in enumerate(rows)], SEQUENT)
+    expected = {f"{i}": e for i, (_, _, e) in enumerate(rows)}
+    assert {r.qid: r.derivable for r in ask(queries, base).collect()} == expected
+    expected["10"] = False  # the depth limit of an explanation
+    assert {r.qid: r.derivable for r in explain(queries, base).collect()} == expected
 
 
 def test_commands(spark, tmp_path, capsys):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from turnstile import __version__
 from turnstile.functions import columns as C
 from turnstile.operators.base import Base
-from turnstile.plans.ask import ask
+from turnstile.plans import responses
 from turnstile.plans.explain import explain
 from turnstile.sources import files
 
@@ -72,32 +72,25 @@ def noted(text: str, note: str | None) -> str:
     return f"{text} — {note}" if note else text
 
 
-def apply_statement(base: Base, s, voice: Voice, path: str) -> int:
-    """One parsed statement; what it does not accept is an error, and the base stays as it was."""
-    if s.error:
-        return voice.error(s.error)
-    note = {"annotation": s.annotation} if s.annotation else {}
+def told(base: Base, rows: DataFrame, path: str) -> list:
+    """Apply typed statements to a base; what is said of each, in order. Those that are not valid change nothing."""
+    own = files.checked(files.statements(rows), base).cache()
     try:
-        if s.kind == "atom":
-            base.add_atom(s.atom)
-            if s.annotation:
-                base.annotate(s.atom, s.annotation)
-            voice.say(noted(f"Added atom: {s.atom}", s.annotation), {"action": "added_atom", "atom": s.atom, "base_file": path} | note)
-        elif s.kind == "consequence":
-            base.add_consequence(s.antecedent, s.consequent)
-            voice.say(f"Added consequence: {show_set(s.antecedent)} |~ {show_set(s.consequent)}", {"action": "added_consequence", "consequence": {"antecedent": s.antecedent, "consequent": s.consequent}, "base_file": path})
-        elif not base.onto:
-            return voice.error("Schemas need ontology mode")
-        else:
-            base.register(s.type, s.arg1 if s.type == "jointCommitment" else s.arg1[0], s.arg2, s.annotation)
-            voice.say(noted(f"Registered {s.type} schema: {s.pattern}", s.annotation), {"action": f"registered_{s.type}_schema", "details": s.pattern, "base_file": path} | note)
-    except ValueError as e:
-        return voice.error(str(e))
-    return SUCCESS
+        said = responses.tell_lines(own, path).orderBy("qid").collect()
+        if any(not r.code for r in said):
+            files.apply(base, own)
+            for t in files.TABLES:
+                setattr(base, f"_{t}", base.spark.createDataFrame(getattr(base, f"_{t}").collect(), getattr(base, f"_{t}").schema))  # a base file is one document
+    finally:
+        own.unpersist()
+    return said
 
 
-def parsed_statements(rows: DataFrame) -> list:
-    return files.statements(rows).withColumn("pattern", C.schema_pattern(F.col("type"), F.col("arg1"), F.col("arg2"))).orderBy("qid").collect()
+def emitted(voice: Voice, r) -> int:
+    if r.error:
+        return voice.error(r.error)
+    voice.say(r.text, json.loads(r.json))
+    return r.code
 
 
 def opened(args, spark: SparkSession) -> Base:
@@ -126,10 +119,10 @@ def run_tell(args, spark: SparkSession) -> int:
     voice = Voice(args.json, args.quiet)
     try:
         base = opened(args, spark)
-        rows = parsed_statements(given_lines(args, spark, args.statement))
+        rows = given_lines(args, spark, args.statement)
     except (OSError, ValueError) as e:
         return voice.error(str(e))
-    codes = [apply_statement(base, s, voice, args.base) for s in rows]
+    codes = [emitted(voice, r) for r in told(base, rows, args.base)]
     if args.batch is not None or ERROR not in codes:
         files.save(base, args.base)
         log.info("Saved base to %s", args.base)
@@ -142,35 +135,17 @@ def sequent_rows(rows: DataFrame) -> DataFrame:
 
 
 def run_ask(args, spark: SparkSession) -> int:
-    """Answers come from the batch plan; traces, depths and JSON from the search, which stops at --max-depth."""
+    """Answers with their search, which stops at --max-depth."""
     voice = Voice(args.json, args.quiet)
     try:
         base = opened(args, spark)
         rows = sequent_rows(given_lines(args, spark, args.sequent))
     except (OSError, ValueError) as e:
         return voice.error(str(e))
-    good = rows.where("fine")
-    if args.json or args.trace:
-        got = explain(good, base, args.max_depth)
-    else:
-        got = good.join(ask(good, base), "qid").withColumns({"trace": F.lit(None), "depth_reached": F.lit(None), "cache_hits": F.lit(None)})
-    bad = {r.qid for r in rows.where("not fine").collect()}
-    found = {r.qid: r for r in got.collect()}
-    codes = []
-    for qid in sorted(bad | found.keys()):
-        if qid in bad:
-            codes.append(voice.error('Invalid sequent: expected "A, B => C, D".'))
-            continue
-        r = found[qid]
-        if r.error:
-            codes.append(voice.error(r.error))
-            continue
-        text = "DERIVABLE" if r.derivable else "NOT DERIVABLE"
-        if args.trace:
-            text += "\n\nProof trace:\n" + "\n".join(f"  {t}" for t in r.trace) + f"\n\nDepth reached: {r.depth_reached}\nCache hits: {r.cache_hits}"
-        data = {"status": text.split("\n")[0].replace(" ", "_"), "sequent": {"antecedent": r.antecedent, "consequent": r.consequent}, "depth_reached": r.depth_reached, "cache_hits": r.cache_hits}
-        voice.say(text, data | ({"trace": r.trace} if args.trace else {}))
-        codes.append(SUCCESS if r.derivable else NOT_DERIVABLE)
+    good, bad = rows.where("fine"), rows.where("not fine").withColumn("error", F.lit(responses.INVALID))
+    lines = responses.ask_lines(explain(good, base, args.max_depth).unionByName(bad, allowMissingColumns=True), args.trace)
+    codes = [emitted(voice, r) for r in lines.orderBy("qid").collect()]
+    log.info("Answered %d queries", len(codes))
     return ERROR if ERROR in codes else max(codes, default=SUCCESS)
 
 
@@ -231,12 +206,7 @@ class Loop:
     def tell(self, text: str) -> str:
         if text.startswith("schema ") and self.base.onto and len(files.re_words(text)) != 4:
             return "Usage: tell schema TYPE A B, TYPE one of subClassOf range domain subPropertyOf disjointWith disjointProperties jointCommitment"
-        said: list[str] = []
-        voice = Voice()
-        voice.say = lambda t, _: said.append(t)  # type: ignore[method-assign]
-        voice.error = lambda t: said.append(f"Error: {t}") or ERROR  # type: ignore[method-assign, func-returns-value]
-        for s in parsed_statements(typed(self.spark, [text])):
-            apply_statement(self.base, s, voice, "")
+        said = [f"Error: {r.error}" if r.error else r.text for r in told(self.base, typed(self.spark, [text]), "")]
         return "\n".join(said).replace("Added consequence:", "Added:")
 
     def ask(self, text: str) -> str:

@@ -1,4 +1,4 @@
-"""Assertions about individuals as values, and schemas over them, for single sequents."""
+"""Assertions about individuals as values."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import re
 
 from turnstile.functions import formula
 
+#: What assertions about individuals look like.
 ROLE, CONCEPT = re.compile(r"^(\w+)\((\w+)\s*,\s*(\w+)\)$"), re.compile(r"^(\w+)\((\w+)\)$")
 
 
@@ -38,20 +39,6 @@ def onto_kind(text: str) -> str:
     return "concept" if len(a) == 2 else "role"
 
 
-def schema_holds(schema: tuple, g: frozenset, d: frozenset) -> bool:
-    """Whether (kind, [names], name) licenses the atomic sequent, exactly."""
-    kind, names, target = schema
-    left, right = [assertion(t) for t in g], [assertion(t) for t in d]
-    if None in left or None in right:
-        return False
-    if kind == "jointCommitment":
-        return len(left) >= 2 and len(right) == 1 and all(len(a) == 2 and a[1] == right[0][-1] for a in left) and len(right[0]) == 2 and {a[0] for a in left} == set(names) and right[0][0] == target
-    if kind in ("disjointWith", "disjointProperties"):
-        arity = 2 if kind == "disjointWith" else 3
-        return len(left) == 2 and not right and all(len(a) == arity for a in left) and left[0][1:] == left[1][1:] and sorted(a[0] for a in left) == sorted([names[0], target])
-    if len(left) != 1 or len(right) != 1 or left[0][0] != names[0] or right[0][0] != target:
-        return False
-    who, whom = left[0][1:], right[0][1:]
-    licensed = {"subClassOf": (2, who), "range": (3, who[1:]), "domain": (3, who[:1]), "subPropertyOf": (3, who)}
-    arity, expected = licensed.get(kind, (0, ()))
-    return len(left[0]) == arity and whom == expected
+def all_onto_atomic(texts) -> bool:
+    """Whether every text is a concept or role assertion; a text that cannot be read is none."""
+    return all(assertion(t) is not None for t in texts)

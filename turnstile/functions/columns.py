@@ -30,12 +30,21 @@ def stripped(text: Column) -> Column:
 
 
 def atom_struct(text: Column) -> Column:
-    """(kind, pred, arg1, arg2) of an assertion; null if it is none. Roles are tried before concepts."""
-    t = stripped(text)
-    get = lambda p, i: F.regexp_extract(t, p, i)
-    role = F.struct(F.lit("role").alias("kind"), get(ROLE, 1).alias("pred"), get(ROLE, 2).alias("arg1"), get(ROLE, 3).alias("arg2"))
-    concept = F.struct(F.lit("concept").alias("kind"), get(CONCEPT, 1).alias("pred"), get(CONCEPT, 2).alias("arg1"), F.lit(None).cast("string").alias("arg2"))
-    return F.when(t.rlike(ROLE), role).when(t.rlike(CONCEPT), concept)
+    """(kind, pred, arg1, arg2) of an assertion; null if it is none. The text is matched once and then cut."""
+    return F.get(F.transform(F.array(text), atom_of), F.lit(0))
+
+
+def atom_of(text: Column) -> Column:
+    """The same inside a lambda, where a text that stands more than once would be worked out more than once."""
+    bare = F.when(text.rlike(r"(?U)^\s|\s$"), stripped(text)).otherwise(text)
+    inner = F.substring_index(F.substring_index(bare, "(", -1), ")", 1)
+    two = inner.contains(",")
+    arg = lambda x: F.when(x.rlike(r"(?U)\s"), stripped(x)).otherwise(x)
+    made = F.struct(
+        F.when(two, "role").otherwise("concept").alias("kind"), F.substring_index(bare, "(", 1).alias("pred"),
+        F.when(two, arg(F.substring_index(inner, ",", 1))).otherwise(inner).alias("arg1"), F.when(two, arg(F.substring_index(inner, ",", -1))).alias("arg2"),
+    )
+    return F.when(bare.rlike(ASSERTION), made)
 
 
 def concept_text(pred: Column, arg: Column) -> Column:

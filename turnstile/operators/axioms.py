@@ -38,7 +38,7 @@ def schema_keys(base: Base) -> DataFrame:
 
 def leaf_keys(leaves: DataFrame) -> DataFrame:
     """leaves with key1 and key2: the schemas that would make a sequent hold, by its shape; null if none could."""
-    ga, da = F.transform("g", C.atom_struct), F.transform("d", C.atom_struct)
+    ga, da = F.transform("g", C.atom_of), F.transform("d", C.atom_of)
     x, y, z = F.get("ga", F.lit(0)), F.get("ga", F.lit(1)), F.get("da", F.lit(0))
     ng, nd = F.size("g"), F.size("d")
     concept, role = lambda a: a.kind == "concept", lambda a: a.kind == "role"
@@ -65,9 +65,12 @@ def judged(leaves: DataFrame, base: Base) -> DataFrame:
     holds = contained() | F.coalesce("_rule", F.lit(False))
     extra = ["_rule"]
     if base.onto:
-        keys = schema_keys(base)
-        out = leaf_keys(out)
-        for k in ("key1", "key2"):
+        keys, kinds = schema_keys(base), {r.type for r in base.schemas.select("type").distinct().collect()}
+        used = [k for k, own in (("key1", kinds - {"domain"}), ("key2", kinds & {"domain"})) if own]  # schemas of no other kind: no join
+        out = leaf_keys(out) if used else out
+        if used:
+            out = out.drop(*{"key1", "key2"}.difference(used))
+        for k in used:
             out = out.join(bounded(keys.select(F.col("key").alias(k), F.lit(True).alias(f"_{k}"))), k, "left")
             holds = holds | F.coalesce(f"_{k}", F.lit(False))
             extra += [k, f"_{k}"]
@@ -81,4 +84,7 @@ def judged(leaves: DataFrame, base: Base) -> DataFrame:
 
 def unparenthesised(text: Column) -> Column:
     """A member without white space or simple parentheses around it, as sentences are read."""
-    return C.stripped(F.regexp_replace(C.stripped(text), r"^\(\s*([^()]*(\([^()]*\))?)\s*\)$", "$1"))
+    inner = lambda t: F.when(t.startswith("("), C.stripped(F.regexp_replace(t, r"^\(\s*([^()]*(\([^()]*\))?)\s*\)$", "$1"))).otherwise(t)
+    # any number of pairs: those that close just after an inner pair go first
+    bare = F.when(text.startswith("(("), F.regexp_replace(text, r"^\((?:\(|\s)*([^()]*(?:\([^()]*\))?)(?:\)|\s)*\)$", "$1")).otherwise(text)
+    return C.stripped(inner(C.stripped(bare)))

@@ -6,6 +6,7 @@ edits make one union; bulk edits are DataFrames from the start. Nothing is close
 
 from __future__ import annotations
 
+import logging
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from turnstile import model
 from turnstile.functions import columns as C
 from turnstile.functions import formula
 
+log = logging.getLogger(__name__)
 ASSERTION = re.compile(r"^\w+\(\w+(\s*,\s*\w+)?\)$")
 #: Rows that are broadcast at most; larger base tables are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -34,6 +36,18 @@ def is_assertion(text: str) -> bool:
     return s[0] == "atom" and bool(ASSERTION.match(s[1]))
 
 
+def check_member(text: str, onto: bool) -> str:
+    """The text if it may be a member of a base of its kind; else ValueError."""
+    if onto:
+        if not is_assertion(text):
+            raise ValueError(f"{text!r} is not a concept or role assertion")
+    elif not formula.is_atomic(text):
+        raise ValueError(f"{text!r} is not atomic")
+    elif is_assertion(text):
+        raise ValueError(f"{text!r} is an assertion about individuals; use an ontology base")
+    return text
+
+
 class Base:
     """Tables of a base. onto: members are assertions about individuals, and schemas count as axioms."""
 
@@ -46,6 +60,7 @@ class Base:
         self._clear()
         self._seq = 0
         self.providers: list = []
+        log.debug("New base: %s", "ontology" if onto else "propositional")
         for a in language:
             self._new_atoms[self.checked(a)] = None
         for ant, con in consequences:
@@ -62,17 +77,10 @@ class Base:
 
     def checked(self, text: str) -> str:
         """The text if it may be a member of this base; else ValueError."""
-        if self.onto:
-            if not is_assertion(text):
-                raise ValueError(f"{text!r} is not a concept or role assertion")
-            return text
-        if not formula.is_atomic(text):
-            raise ValueError(f"{text!r} is not atomic")
-        if is_assertion(text):
-            raise ValueError(f"{text!r} is an assertion about individuals; use an ontology base")
-        return text
+        return check_member(text, self.onto)
 
     def checked_rule(self, antecedent, consequent) -> tuple:
+        """Both sides as sorted members, valid ones; they keep their text, but are met as sentences are read."""
         return tuple(sorted({self.checked(x) for x in antecedent})), tuple(sorted({self.checked(x) for x in consequent}))
 
     # -- tables
@@ -168,7 +176,7 @@ class Base:
     def add_rows(self, language: DataFrame | None = None, consequences: DataFrame | None = None, schemas: DataFrame | None = None, annotations: DataFrame | None = None) -> Base:
         """Bulk edits of valid rows: atoms, rules (whose members join the language), schemas (type, arg1, arg2), annotations (atom, description).
 
-        An annotation replaces an earlier one of its key; of several in the frame the greatest text counts.
+        Schemas may have an annotation, and a seq (0 and on) that orders them among themselves. An annotation replaces an earlier one of its key; of several in the frame the greatest text counts.
         """
         self.flush()
         if consequences is not None:
@@ -179,9 +187,12 @@ class Base:
         if language is not None:
             self._language = self._language.union(language.select("atom")).distinct()
         if schemas is not None:
-            own = schemas.select(F.lit(self._seq).cast("long").alias("seq"), "type", "arg1", "arg2", F.lit(None).cast("string").alias("annotation"))
+            seq = F.col("seq") if "seq" in schemas.columns else F.lit(0)
+            note = F.col("annotation") if "annotation" in schemas.columns else F.lit(None).cast("string")
+            own = schemas.select((F.lit(self._seq) + seq).cast("long").alias("seq"), "type", "arg1", "arg2", note.alias("annotation"))
             self._schemas = self._schemas.union(own)
-            self._seq += 1
+            last = own.agg(F.max("seq")).first()[0] if "seq" in schemas.columns else None
+            self._seq = 1 + (self._seq if last is None else last)
         if annotations is not None:
             own = annotations.groupBy("atom").agg(F.max("description").alias("description"))
             self._annotations = self._annotations.join(own, "atom", "left_anti").unionByName(own)

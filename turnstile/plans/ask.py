@@ -1,16 +1,16 @@
 """Derivability of a whole batch of sequents in one plan.
 
 Members that cannot be compound stay in the JVM; only sequents with compound members pass through the
-projection, an Arrow batch function that remembers what it has met. Leaves are judged by joins, and one grouped
+projection, a function of Arrow batches. Leaves are judged by joins, and one grouped
 aggregation asks whether all leaves of a query hold.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnstile.functions import columns as C
 from turnstile.functions import formula
@@ -18,31 +18,49 @@ from turnstile.operators.axioms import judged
 from turnstile.operators.base import Base
 from turnstile.shipping import ship
 
-PROJECTED = "struct<leaves: array<struct<g: array<string>, d: array<string>>>, error: string>"
-
-
-@lru_cache(maxsize=50_000)
-def projected(antecedent: tuple, consequent: tuple):
-    """(leaves, error) of one sequent."""
-    try:
-        return [(sorted(g), sorted(d)) for g, d in formula.project(antecedent, consequent)], None
-    except (formula.Malformed, RecursionError) as e:
-        return None, str(e) or type(e).__name__
-
-
-def _project(a, c):
-    return projected(tuple(a if a is not None else ()), tuple(c if c is not None else ()))
+#: Atomic sequents that are sent on at once.
+CHUNK = 10_000
 
 
 def leaves(queries: DataFrame) -> DataFrame:
-    """(qid, g, d, error): a row for each atomic sequent of each query; one with null sides if there is none."""
+    """(qid, g, d, error): a row for each atomic sequent of each query; one with null sides if there is none.
+
+    Atomic sequents are sent on as they are found, however many a query has.
+    """
     ship(queries.sparkSession)
-    run = F.udf(_project, PROJECTED, useArrow=True)
+    schema = T.StructType([queries.schema["qid"], T.StructField("g", T.ArrayType(T.StringType())), T.StructField("d", T.ArrayType(T.StringType())), T.StructField("error", T.StringType())])
+
+    def found(antecedent, consequent):
+        try:
+            n = 0
+            for n, (g, d) in enumerate(formula.project(antecedent or (), consequent or ()), 1):
+                yield sorted(g), sorted(d), None
+            if not n:
+                yield None, None, None
+        except formula.Malformed as e:
+            yield None, None, str(e)
+
+    def run(batches):
+        for b in batches:
+            of, rows = [], []
+            for k, (a, c) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+                for leaf in found(a, c):
+                    of.append(k)
+                    rows.append(leaf)
+                    if len(rows) >= CHUNK:
+                        yield sent(b, of, rows)
+                        of, rows = [], []
+            if rows:
+                yield sent(b, of, rows)
+
+    def sent(b, of, rows):
+        kinds = [pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds)]], names=schema.names)
+
     own = queries.select("qid", C.canonical(F.transform("antecedent", C.stripped)).alias("a"), C.canonical(F.transform("consequent", C.stripped)).alias("c"))
     maybe = F.exists(F.concat("a", "c"), lambda x: x.rlike(C.MAYBE_COMPOUND) | (x == ""))
     plain = own.where(~maybe).select("qid", F.col("a").alias("g"), F.col("c").alias("d"), F.lit(None).cast("string").alias("error"))
-    deep = own.where(maybe).select("qid", run("a", "c").alias("p")).select("qid", F.explode_outer("p.leaves").alias("l"), "p.error")
-    return plain.unionByName(deep.select("qid", "l.g", "l.d", F.col("error")))
+    return plain.unionByName(own.where(maybe).mapInArrow(run, schema))
 
 
 def ask(queries: DataFrame, base: Base) -> DataFrame:

@@ -9,51 +9,40 @@ from pyspark.sql import functions as F
 
 from turnstile.functions import columns as C
 from turnstile.functions import formula
-from turnstile.functions.search import LEFT, RIGHT, Search
+from turnstile.functions.formula import LEFT, RIGHT
+from turnstile.functions.search import proved
+from turnstile.operators.axioms import judged
 from turnstile.operators.base import Base
+from turnstile.plans.ask import leaves
 from turnstile.shipping import ship
 
 PROOF = "struct<derivable: boolean, trace: array<string>, depth_reached: int, cache_hits: int, error: string>"
-#: Rules and schemas that a base may have for its queries to be explained; answers need no such bound.
-EXPLAINED_ROWS = 100_000
-
-
-def small_base(base: Base) -> tuple[frozenset, list]:
-    """Rules and schemas of a base as values."""
-    rules = base.consequences.limit(EXPLAINED_ROWS + 1).collect()
-    schemas = base.schemas.orderBy("seq").limit(EXPLAINED_ROWS + 1).collect() if base.onto else []
-    if max(len(rules), len(schemas)) > EXPLAINED_ROWS:
-        raise ValueError(f"Only bases of at most {EXPLAINED_ROWS} rules are explained")
-    return frozenset((frozenset(r.antecedent), frozenset(r.consequent)) for r in rules), [(s.type, list(s.arg1), s.arg2) for s in schemas]
 
 
 def explain(queries: DataFrame, base: Base, max_depth: int = 25) -> DataFrame:
-    """queries with derivable, trace, depth_reached, cache_hits, error: the search that stops at max_depth."""
+    """queries (qid, antecedent, consequent) with derivable, trace, depth_reached, cache_hits, error: the search that stops at max_depth.
+
+    The atomic sequents of the queries are judged as for answers, and the search of a query gets those that hold,
+    so answers and explanations rest on the same verdicts, providers of axioms included.
+    """
     ship(queries.sparkSession)
-    rules, schemas = small_base(base)
+    held = judged(leaves(queries), base).where("holds").groupBy("qid").agg(F.collect_set(F.struct("g", "d")).alias("_held"))
 
-    def run(a, c):
+    def run(a, c, held):
         try:
-            return (*Search(rules, schemas, max_depth).prove(a, c), None)
+            axioms = {(frozenset(h["g"]), frozenset(h["d"])) for h in (held if held is not None else ())}
+            return (*proved(a if a is not None else (), c if c is not None else (), axioms, max_depth), None)
         except formula.Malformed as e:
             return None, None, None, None, str(e)
 
-    return queries.withColumn("_p", F.udf(run, PROOF, useArrow=True)("antecedent", "consequent")).select(*queries.columns, "_p.*")
-
+    rows = queries.join(held, "qid", "left")
+    return rows.withColumn("_p", F.udf(run, PROOF, useArrow=True)("antecedent", "consequent", "_held")).select(*queries.columns, "_p.*")
 
-def trace_function(base: Base, max_depth: int = 25):
-    """A table function prove(antecedent, consequent) -> (step, line) for LATERAL joins."""
-    rules, schemas = small_base(base)
-    ship(base.spark)
 
-    class Prove:
-        def eval(self, antecedent, consequent):
-            try:
-                yield from enumerate(Search(rules, schemas, max_depth).prove(antecedent, consequent).trace)
-            except formula.Malformed as e:
-                yield 0, f"ERROR: {e}"
-
-    return F.udtf(Prove, returnType="step int, line string")
+def trace_lines(queries: DataFrame, base: Base, max_depth: int = 25) -> DataFrame:
+    """(qid, step, line) of the search of every query; a query that cannot be read has its error as a line."""
+    found = explain(queries, base, max_depth)
+    return found.select("qid", F.posexplode(F.coalesce("trace", F.array(F.concat(F.lit("ERROR: "), "error")))).alias("step", "line"))
 
 
 def dictionary(queries: DataFrame) -> DataFrame:
@@ -61,18 +50,15 @@ def dictionary(queries: DataFrame) -> DataFrame:
     ship(queries.sparkSession)
 
     def parts(text):
-        out = {}
-
-        def walk(s, name):
-            out[name] = (name, s[0], *[formula.show(x) for x in s[1:]][:2]) if s[0] != "atom" else (name, "atom", None, None)
-            for x in s[1:] if s[0] != "atom" else ():
-                walk(x, formula.show(x))
-
         try:
-            walk(formula.parse(text), text)
+            whole = formula.parse(text)
         except formula.Malformed:
             return []
-        return [tuple((*r, None))[:4] for r in out.values()]
+        out = {}
+        for s in formula.parts_first(whole):
+            name = text if s is whole else formula.show(s)
+            out[name] = (name, s[0], *([None, None] if s[0] == "atom" else [*map(formula.show, s[1:]), None][:2]))
+        return list(out.values())
 
     run = F.udf(parts, "array<struct<f: string, kind: string, a: string, b: string>>", useArrow=True)
     texts = queries.select(F.explode(F.concat("antecedent", "consequent")).alias("t")).distinct()

@@ -35,16 +35,24 @@ ROLES = [
 ]
 
 
+def scanned(spark: SparkSession, sf_dir: str, facts: list[tuple], names: list[str], tables: tuple[str, ...]) -> DataFrame:
+    """The facts of the tables named, or of all, as distinct rows; each table is read once."""
+    made = []
+    for t in dict.fromkeys(f[0] for f in facts):
+        if not tables or t in tables:
+            rows = [F.expr(f"CASE WHEN {cond} THEN struct({', '.join(f'{x} AS {n}' for x, n in zip(values, names))}) END") for own, *values, cond in facts if own == t]
+            made.append(spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.inline(F.array_compact(F.array(*rows)))))
+    return reduce(DataFrame.unionByName, made).distinct()
+
+
 def concepts(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """(pred, arg) of the tables named, or of all."""
-    read = [spark.read.parquet(f"{sf_dir}/{t}.parquet").where(cond).select(F.expr(name).alias("pred"), F.expr(who).alias("arg")) for t, name, who, cond in CONCEPTS if not tables or t in tables]
-    return reduce(DataFrame.unionByName, read).distinct()
+    return scanned(spark, sf_dir, CONCEPTS, ["pred", "arg"], tables)
 
 
 def roles(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
     """(pred, arg1, arg2) of the tables named, or of all."""
-    read = [spark.read.parquet(f"{sf_dir}/{t}.parquet").where(cond).select(F.expr(name).alias("pred"), F.expr(a).alias("arg1"), F.expr(b).alias("arg2")) for t, name, a, b, cond in ROLES if not tables or t in tables]
-    return reduce(DataFrame.unionByName, read).distinct()
+    return scanned(spark, sf_dir, ROLES, ["pred", "arg1", "arg2"], tables)
 
 
 def concepts_sql(*tables: str) -> str:

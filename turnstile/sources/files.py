@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from turnstile import model
 from turnstile.functions import columns as C
-from turnstile.operators.base import Base
+from turnstile.operators.base import Base, check_member
+from turnstile.shipping import ship
+
+TABLES = ["language", "consequences", "annotations", "schemas"]
 
 
 def from_frame(spark: SparkSession, file: DataFrame, onto: bool) -> Base:
@@ -108,6 +111,52 @@ def kept_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", C.stripped(F.col("value"))).where(~F.col("value").rlike(r"^(#|$)"))
 
 
+def checked(rows: DataFrame, base: Base) -> DataFrame:
+    """Statements with an error where a member may not be in this base; the others are as they were."""
+    ship(rows.sparkSession)
+    onto = base.onto
+
+    def fault(kind, atom, antecedent, consequent):
+        members = [atom] if kind == "atom" else [*(antecedent if antecedent is not None else ()), *(consequent if consequent is not None else ())]
+        try:
+            for t in members if kind in ("atom", "consequence") else ():
+                check_member(t, onto)
+        except ValueError as e:
+            return str(e)
+        return None
+
+    found = F.udf(fault, "string", useArrow=True)("kind", "atom", "antecedent", "consequent")
+    schema = F.when((F.col("kind") == "schema") & F.lit(not onto), "Schemas need ontology mode")
+    return rows.withColumn("error", F.coalesce("error", found, schema))
+
+
+def apply(base: Base, rows: DataFrame) -> Base:
+    """Add checked statements (qid whole numbers) that have no error to a base; of annotations of one atom the last counts."""
+    good = rows.where("error is null")
+    atoms = good.where("kind = 'atom'")
+    schemas = good.where("kind = 'schema'").select("type", "arg1", "arg2", "annotation", F.col("qid").cast("long").alias("seq"))
+    return base.add_rows(
+        atoms.select("atom"), good.where("kind = 'consequence'").select("antecedent", "consequent"), schemas,
+        atoms.where("annotation is not null").groupBy("atom").agg(F.max_by("annotation", "qid").alias("description")),
+    )
+
+
+def export(base: Base, path: str) -> None:
+    """The base as folders of JSON lines, one for each table, written by many tasks; for bases of any size."""
+    for name in TABLES[: 4 if base.onto else 3]:
+        getattr(base, name).write.json(f"{path}/{name}")
+
+
+def import_(spark: SparkSession, path: str, onto: bool = False) -> Base:
+    """A base that export wrote."""
+    base = Base(spark, onto=onto)
+    for name, schema in zip(TABLES[: 4 if onto else 3], (model.LANGUAGE, model.CONSEQUENCES, model.ANNOTATIONS, model.SCHEMAS)):
+        setattr(base, f"_{name}", spark.read.schema(schema).json(f"{path}/{name}"))
+    if onto:
+        base._seq = 1 + (base._schemas.agg(F.max("seq")).first()[0] or 0)
+    return base
+
+
 def quoted(text):
     """(rest, annotation): what stands before the first quoted part, and that part; an open quote runs to the end."""
     mark = F.when(text.contains('"'), F.lit('"')).when(text.contains("'"), F.lit("'"))
