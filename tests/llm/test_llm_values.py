@@ -217,3 +217,20 @@ def test_blocks(page, expected):
 def test_vocabularies_stay_outside():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert not any(f.endswith((".tiktoken", ".model")) for _, _, fs in os.walk(root) for f in fs)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "</", '<a ">', '<a "', "<a '\"", "<!-", "<p", "<script>", "<!--", '<a "><b \'>'])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    for tail in ("", ">", "'", '">'):
+        began = time.process_time()
+        html.blocks("<p>one</p>" + piece * (600_000 // len(piece)) + tail)
+        assert time.process_time() - began < 30  # a square would take hours
+
+
+def test_tags_of_broken_pages():
+    assert html.blocks('<p title="a > b">one</p><p>two < three</p>') == ["one", "two < three"]
+    assert html.blocks('<p>one</p><a title="x>two</a><p>three</p>') == ["one", "two", "three"]
+    assert html.blocks("<p>one</p><!-- <p>no</p> --><p>two</p><!-- <p>no") == ["one", "two"]
+    assert html.blocks("<p>one <b") == ["one <b"] and html.blocks("<p>1 < 2") == ["1 < 2"]

@@ -36,7 +36,9 @@ SPACED = frozenset(["br", "td", "th"])
 #: Words of class and id names, and roles, of what is not the article.
 SIGNS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs topbar masthead footer comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay paywall widget toolbar pager pagination search skip".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: Attributes up to the end of a tag; the quantifiers give nothing back, so a try is linear.
+ATTRIBUTES = re.compile(r"""((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORDS = re.compile(r"[a-z]+")
 HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -90,6 +92,37 @@ def main_blocks(html: str | None) -> tuple[list[str], bool]:
     return [t for t, _ in main or body], not main
 
 
+class Tags:
+    """Tags and comments of a page from left to right, in time linear in its length.
+
+    A tag ends at the first > outside quotes. A page where a quote is never closed gets its tags from there on cut at the
+    first > whatever the quotes; where no > is left, < is text.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last, self.quotes = html, html.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, closing, tag, attributes) of the first one from a place on; the tag of a comment or the like is empty."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if start > self.last:
+                start = html.find("<!--", start)
+                return (start, len(html), False, "", "") if start >= 0 else None
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), False, "", ""
+            if m := TAG.match(html, start):
+                found = ATTRIBUTES.match(html, m.end()) if self.quotes else None
+                self.quotes = found is not None
+                end = found.end() if found else html.index(">", m.end()) + 1
+                return start, end, bool(m[1]), m[2].lower(), html[m.end() : end - 1]
+            if html[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, html.index(">", start) + 1, False, "", ""
+            at = start + 1
+        return None
+
+
 def scanned(html: str) -> tuple[list[tuple[str, frozenset[str]]], set[str]]:
     """(blocks, each with those of article, main and aside that it is in; which of article and main there are).
 
@@ -114,13 +147,13 @@ def scanned(html: str) -> tuple[list[tuple[str, frozenset[str]]], set[str]]:
         if part and not skip:
             now.append(part)
 
-    while m := TOKEN.search(html, at):
-        text(html[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+    tags = Tags(html)
+    while m := tags.after(at):
+        start, end, closing, tag, attributes = m
+        text(html[at:start])
+        at = end
         if not tag:
             continue
-        closing, attributes = bool(m[1]), m[3] or ""
         alone = tag in VOID or attributes.endswith("/") and tag not in BLOCK
         if skip and not closing and skipped == 1 and (skip == "p" and tag in BLOCK or skip == tag == "li"):
             skip, skipped = "", 0  # an element whose end tag may be left out
