@@ -31,11 +31,6 @@ def stripped(text: Column) -> Column:
 
 def atom_struct(text: Column) -> Column:
     """(kind, pred, arg1, arg2) of an assertion; null if it is none. The text is matched once and then cut."""
-    return F.get(F.transform(F.array(text), atom_of), F.lit(0))
-
-
-def atom_of(text: Column) -> Column:
-    """The same inside a lambda, where a text that stands more than once would be worked out more than once."""
     bare = F.when(text.rlike(r"(?U)^\s|\s$"), stripped(text)).otherwise(text)
     inner = F.substring_index(F.substring_index(bare, "(", -1), ")", 1)
     two = inner.contains(",")
