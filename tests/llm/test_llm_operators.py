@@ -112,24 +112,50 @@ def test_token_files(docs, empty, tmp_path):
     assert token_files.token_files(empty, path, folder=f"file://{tmp_path}/e")[1].count() == 0
 
 
-def test_lm(docs, empty):
+def test_lm(docs, empty, monkeypatch):
+    """Words one by one, by the formula, for two orders and with lanes shorter than most texts."""
     out = [zlib.crc32(str("" if i is None else i).encode()) % 10 == 0 for i, _ in ROWS]
     tok = [[*(t or "").encode().lower().split(), b""] for _, t in ROWS]
     c = Counter(w for t, h in zip(tok, out) if not h for w in t)
-    pairs = Counter(p for t, h in zip(tok, out) if not h for p in zip([b"", *t], t))
     n, v = sum(c.values()), len(c)
+    base = [round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6) for t in tok]
+    for order in (2, 3):
+        grams = Counter(tuple([b"", *t][max(0, i - k) : i + 1]) for t, h in zip(tok, out) if not h for i in range(1, len(t) + 1) for k in range(1, order) if k <= i)
+
+        def p(h, w):
+            if not h:
+                return (c[w] or v) / (n + v)
+            seen = c[h[0]] if len(h) == 1 else grams[h]
+            share = lm.MIX * seen / (seen + lm.DAMP)
+            return (share * grams[*h, w] / seen if seen else 0) + (1 - share) * p(h[1:], w)
+
+        def score(t):
+            own = [b"", *t]
+            return sum(math.log10(p(tuple(own[max(0, i - order + 1) : i]), own[i])) for i in range(1, len(own)))
+
+        expected = Counter((i, h, len(t), sum(c[w] > 0 for w in t), n, b, round(score(t), 6)) for (i, _), h, t, b in zip(ROWS, out, tok, base))
+        for lane in (lm.LANE, 3):
+            monkeypatch.setattr(lm, "LANE", lane)
+            got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.scored(docs, order=order).collect())
+            assert got == expected
+        states = [(), *[(w,) for w in [*list(c)[:20], b"never"]], *[g for g in list(grams)[:60] if len(g) == order - 1 and g[-1]]]
+        for h in states:  # every state's probabilities add up to 1
+            assert abs(sum(p(h, w) for w in c) + p(h, None) - 1) < 1e-9
+    assert lm.scored(empty).count() == 0
 
-    def p(h, w):
-        share = lm.MIX * c[h] / (c[h] + lm.DAMP)
-        return (share * pairs[h, w] / c[h] if c[h] else 0) + (1 - share) * (c[w] or v) / (n + v)
 
-    got = Counter()
-    for r in lm.scored(docs).collect():
-        got[r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)] += 1
-    assert got == Counter((i, h, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 6), round(sum(math.log10(p(a, b)) for a, b in zip([b"", *t], t)), 6)) for (i, _), h, t in zip(ROWS, out, tok))
-    for h in [*list(c)[:20], b"never"]:  # every state's probabilities add up to 1
-        assert abs(sum(p(h, w) for w in c) + p(h, None) - 1) < 1e-9
-    assert lm.scored(empty).count() == 0
+def test_lm_parts():
+    """Parts are ranges of names; steps give a name back less its part's start, and blocks of equal parts agree."""
+    rng = np.random.default_rng(3)
+    for bits, parts in ((64, 1), (64, 7), (48, 5000), (40, 12)):
+        key = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) >> np.uint64(64 - bits))
+        key = rng.permutation(np.append(key, np.uint64(0)))
+        key = np.unique(key)[::-1].copy()
+        order, met, cut, step = lm.parted(key, parts, bits)
+        assert (np.diff(met) > 0).all() and met[-1] < parts and len(step) == len(key) == cut[-1]
+        for p, i, j in zip(met.tolist(), cut, cut[1:]):
+            start = -(-(p << 32) // parts) << (bits - 32)
+            assert [start + int(x) for x in np.cumsum(step[i:j])] == [int(x) for x in key[order][i:j]]
 
 
 def labels_of(spark):
