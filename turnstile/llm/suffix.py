@@ -13,8 +13,9 @@ would need a fifth of them). Two equal windows pick the same step. The operator
    neighbours share their least document.
 
 A window is removed in each document greater than its least. Documents are dealt into batches by id and
-each batch sends every (name, context) and every window once, with its least document, so a passage that
-a third of all documents share costs one entry a batch. Equality is that of 64-bit hashes of the 50 bytes
+each batch sends every name once, with its context if it has but one there, and every window of the names with
+several, with their least documents. So a passage that a third of all documents share, or a gram that stands
+in any number of contexts, costs one entry a batch in the first round. Equality is that of 64-bit hashes of the 50 bytes
 (48 bits between contexts of one name). Names have 48 bits; two grams that share one just have their
 windows compared. The blocks that batches exchange are never more than the entries in them.
 """
@@ -36,6 +37,8 @@ SPAN = LENGTH - GRAM + 1  # gram starts in a window
 CHUNK_BITS = 20
 NO_ID = -(1 << 63)
 MULTI = 1
+#: Stands for the contexts of a name that has several in a batch.
+DIFFER = np.uint64((1 << 64) - 1)
 #: With every, so many documents of a scope must hold a string (two, if there are just two), and one in so many of them.
 HELD, SHARE = 3, 10
 #: Odd constants of 64-bit mixing.
@@ -218,6 +221,20 @@ class Batch:
             self.name = np.concatenate([self.name, mixed(self.scopes * M2) >> np.uint64(16)])
             self.context = np.concatenate([self.context, np.zeros(len(self.scopes), np.uint64)])
 
+    def names(self) -> tuple[np.ndarray, ...]:
+        """Entries of the first round: (name, context, least, most).
+
+        A name has one, however many contexts it has in the batch; with several its context is DIFFER. With every
+        each context has its own, as holders of each are counted.
+        """
+        if self.every or not len(self.name):
+            self.entry = np.arange(len(self.name))
+            return self.name, self.context, self.least, self.most
+        new = np.diff(self.name, prepend=~self.name[:1]) != 0
+        at, self.entry = np.flatnonzero(new), np.cumsum(new) - 1
+        one = np.diff(at, append=len(new)) == 1
+        return self.name[at], np.where(one, self.context[at], DIFFER), np.minimum.reduceat(self.least, at), np.maximum.reduceat(self.most, at)
+
     def answers(self, rows: pa.Table, round_: int, n: int, name: np.ndarray, parts: int) -> np.ndarray:
         """What came back for n entries that were sent in order of (part, entry)."""
         part = (name % np.uint64(parts)).astype(few(parts))
@@ -229,14 +246,15 @@ class Batch:
         return out
 
     def first_answers(self, rows: pa.Table, parts: int) -> None:
-        back = self.answers(rows, 1, len(self.name), self.name, parts)
+        name, _, least, _ = self.names()
+        back = self.answers(rows, 1, len(name), name, parts)
         if self.every:
             n = len(self.name) - len(self.scopes)
             held, self.need = back[:n][self.place], wanted(back[n:])[self.scope][self.sample.doc]
             self.gone, self.several = held >= self.need, -held >= self.need
         else:
-            self.several = (back == MULTI)[self.place] if len(back) else np.empty(0, bool)
-            self.found = self.least + np.minimum(back, 0)
+            self.several = (back == MULTI)[self.entry][self.place] if len(back) else np.empty(0, bool)
+            self.found = (least + np.minimum(back, 0))[self.entry]
         self.run, self.start, self.window = self.sample.windows(self.several)
         doc = self.ids[self.sample.doc[self.run]] if len(self.run) else np.empty(0, np.int64)
         self.window_place, (self.window_name, self.window_key), self.window_least, self.window_most = entries((self.sample.name[self.run], self.window), doc)
@@ -312,7 +330,7 @@ def settle_names(rows: pa.Table, every: bool = False) -> pa.Table:
     one = np.full(len(low), np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(one, place, context)
     differ = np.zeros(len(low), bool)
-    differ[place[context != one[place]]] = True
+    differ[place[(context != one[place]) | (context == DIFFER)]] = True
     if every:
         value = (added(place, len(low), least) * np.where(differ, -1, 1))[place]
     else:
@@ -348,7 +366,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @tidied
     def first(key, table):
         x = Batch(undealt(table), every)
-        return sent(key[0].as_py(), x.name, x.context, x.least, x.most, parts)
+        return sent(key[0].as_py(), *x.names(), parts)
 
     @tidied
     def second(key, table, rows):
