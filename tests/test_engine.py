@@ -154,6 +154,19 @@ def test_explanations(spark):
     assert trace_lines(queries, base).groupBy("qid").count().orderBy("qid").collect() == [("1", 4), ("2", 1)]
 
 
+def test_proof_trees_of_a_batch(spark):
+    """Each tree needs its own row only, and is whole however deep; a side may be null."""
+    deep = "~" * 151 + "p"
+    tree = proof_tree(spark.createDataFrame([("deep", [deep], []), ("null", None, ["p | q"]), ("none", [], [])], SEQUENT))
+    rows = {}
+    for r in tree.collect():
+        rows.setdefault(r.qid, []).append((r.level, r.rule, r.g, r.d))
+    assert len(rows["deep"]) == 152 and max(rows["deep"]) == (151, "leaf", [], ["p"]) and min(rows["deep"]) == (0, f"L {deep}", [deep], [])
+    assert sorted(rows["null"]) == [(0, "R p | q", [], ["p | q"]), (1, "leaf", [], ["p", "q"])] and rows["none"] == [(0, "leaf", [], [])]
+    plan = tree._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Aggregate", "UnionLoop", "Exchange"))
+
+
 def test_one_answer_by_all_paths(spark):
     """Answers and explanations agree: parentheses, white space, providers, deep sentences, many disjuncts."""
     base = Base(spark, "AB", [("A", "B"), (["((C))"], ["D"])])

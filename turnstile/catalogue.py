@@ -453,7 +453,7 @@ def proof_depth(spark, d):
 
 @query(f"SELECT who AS qid, CAST(CASE WHEN {HAS} THEN 9 ELSE 3 END AS BIGINT) AS leaves FROM {CUST}")
 def proof_tree_leaves(spark, d):
-    """Leaves of the proof tree, by a recursive query, of (A | B) -> ~(C & D) & E of debtors and A -> ~(C & D) & E of others; premises that meet again count again."""
+    """Leaves of the proof tree of (A | B) -> ~(C & D) & E of debtors and A -> ~(C & D) & E of others; premises that meet again count again."""
     a = F.when(F.array_contains("texts", said("Debtor")), F.format_string("(A(%1$s) | B(%1$s))", F.col("who"))).otherwise(F.format_string("A(%1$s)", F.col("who")))
     own = sequents(customers(spark, d), F.expr(C.EMPTY), [F.concat(a, F.format_string(" -> ~(C(%1$s) & D(%1$s)) & E(%1$s)", F.col("who")))])
     return explain.proof_tree(own).where("rule = 'leaf'").groupBy("qid").agg(F.count("*").alias("leaves"))
